@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from lodestone.llm.interpolation import op7_lm_scoring
+from lodestone.llm.language import op3_language_id
 from lodestone.llm.packing import op2_packing
+from lodestone.llm.quality import op4_quality_classifier
 from lodestone.llm.secrets import op10_secret_scan
 from lodestone.llm.tiff import op9_tiff_media
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op7_lm_scoring": op7_lm_scoring,
     "op9_tiff_media": op9_tiff_media,
     "op10_secret_scan": op10_secret_scan,
 }
