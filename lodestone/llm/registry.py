@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lodestone.llm.bagminhash import op5_near_duplicates
+from lodestone.llm.html_crf import op1_html_extraction
 from lodestone.llm.interpolation import op7_lm_scoring
 from lodestone.llm.language import op3_language_id
 from lodestone.llm.packing import op2_packing
@@ -10,9 +12,11 @@ from lodestone.llm.secrets import op10_secret_scan
 from lodestone.llm.tiff import op9_tiff_media
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_lm_scoring": op7_lm_scoring,
     "op9_tiff_media": op9_tiff_media,
     "op10_secret_scan": op10_secret_scan,
