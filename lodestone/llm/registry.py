@@ -6,6 +6,8 @@ from lodestone.llm.bagminhash import op5_near_duplicates
 from lodestone.llm.html_crf import op1_html_extraction
 from lodestone.llm.interpolation import op7_lm_scoring
 from lodestone.llm.language import op3_language_id
+from lodestone.llm.mixing import op8_domain_mixing
+from lodestone.llm.outliers import op6_robust_outliers
 from lodestone.llm.packing import op2_packing
 from lodestone.llm.quality import op4_quality_classifier
 from lodestone.llm.secrets import op10_secret_scan
@@ -17,7 +19,9 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_robust_outliers": op6_robust_outliers,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_domain_mixing": op8_domain_mixing,
     "op9_tiff_media": op9_tiff_media,
     "op10_secret_scan": op10_secret_scan,
 }
