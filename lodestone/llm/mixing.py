@@ -25,8 +25,8 @@ TRAIN_ROWS = 4000
 LEXICON = 96
 #: A word must occur in so many sampled documents.
 SUPPORT = 8
-MU = 0.02
-STEPS = 60
+MU = 0.005
+STEPS = 80
 TOLERANCE = 1e-6
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.92, "low": 0.06, "toxic": 0.02}
@@ -54,6 +54,10 @@ def with_features(docs: DataFrame) -> DataFrame:
     }).drop("__all")
 
 
+def _adds(k: int):
+    return lambda total, weights: total + F.get(weights, F.lit(k))
+
+
 class Membership:
     """Log-odds of a naive-Bayes classifier as expressions over with_features(): DOMAINS x (prior, STATS, words)."""
 
@@ -72,7 +76,7 @@ class Membership:
                 m, sd = self.stats[d][s]
                 x = x - F.pow((F.col(s) - m) / sd, 2) / 2 - math.log(sd)
             if self.words:
-                x = x + F.aggregate("__said", F.lit(0.0), lambda a, v, k=k: a + F.get(v, F.lit(k)))
+                x = x + F.aggregate("__said", F.lit(0.0), _adds(k))
             df = df.withColumn(f"__log_{d}", x)
         df = df.withColumn("__top", F.greatest(*(F.col(f"__log_{d}") for d in DOMAINS)))
         df = df.withColumns({f"__e_{d}": F.exp(F.col(f"__log_{d}") - F.col("__top")) for d in DOMAINS})
