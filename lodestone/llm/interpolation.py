@@ -33,6 +33,7 @@ BUCKETS = 24  # of context frequency, by powers of two
 CELLS = 96  # of each probability's logarithm, for the held-out counts
 LOW2, LOW1 = -9.0, -15.0
 ROUNDS = 60
+SLICE_TOKENS = 1 << 19
 _END = np.uint64(0x5851F42D4C957F2D)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,6 +179,15 @@ def _value(cell: np.ndarray, low: float) -> np.ndarray:
     return np.where(cell > 0, 10 ** (low - low * (cell - 0.5) / CELLS), 0.0)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most SLICE_TOKENS tokens, or of one row."""
+    total, at = np.cumsum(batch.column("n_tokens").to_numpy()), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_TOKENS, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _flat(batch: pa.RecordBatch, n_end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word total, pair total, context total, document) of all tokens of a batch; n_end: total of the end token, every text's first context."""
     words = [_unsqueeze(x) for x in batch.column("words").to_pylist()]
@@ -199,15 +209,14 @@ def held_out_cells(events: DataFrame, n: int, ends: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * (CELLS + 1) ** 2, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                word, pair, context, _ = _flat(batch, ends)
-                p2, p1 = _estimates(pair - 1, word - 1, context - 1, n - 1)
-                total += np.bincount((_bucket(context - 1) * (CELLS + 1) + _cell(p1, LOW1)) * (CELLS + 1) + _cell(p2, LOW2), minlength=len(total))
+        for batch in (part for whole in batches for part in _slices(whole)):
+            word, pair, context, _ = _flat(batch, ends)
+            p2, p1 = _estimates(pair - 1, word - 1, context - 1, n - 1)
+            total += np.bincount((_bucket(context - 1) * (CELLS + 1) + _cell(p1, LOW1)) * (CELLS + 1) + _cell(p2, LOW2), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
-    return events.where("learn").select("words", "pairs").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return events.where("learn").select("n_tokens", "words", "pairs").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def learn_weights(cell: np.ndarray, count: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -239,10 +248,8 @@ def score_events(events: DataFrame, model: Interpolation) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             k = batch.num_rows
-            if not k:
-                continue
             word, pair, context, doc = _flat(batch, model.ends)
             base = np.log10((word + 0.1) / (model.n + 0.1 * (model.vocabulary + 1)))
             p2, p1 = _estimates(pair, word, context, model.n)
