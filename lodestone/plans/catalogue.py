@@ -34,8 +34,27 @@ def attributes(spark: SparkSession, d: str) -> DataFrame:
     return x.select("product_uid", "x.name", "x.value", (F.col("product_uid") * 3 + F.col("x.i")).alias("pos"))
 
 
+_kept: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, *key: str, build):
+    """What a session builds once per folder and keeps in Spark's storage (memory, then disk), as an engine loads its corpus once."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return with_tokens(build_corpus(descriptions(spark, d), titles(spark, d), attributes(spark, d)))
+    return _once(spark, d, "corpus", build=lambda: with_tokens(build_corpus(descriptions(spark, d), titles(spark, d), attributes(spark, d))).persist())
+
+
+def index(spark: SparkSession, d: str, *fields: str) -> ix.Index:
+    def build() -> ix.Index:
+        made = ix.build_index(corpus(spark, d), fields)
+        return ix.Index(made.postings.persist(), made.terms.persist(), made.fields)
+
+    return _once(spark, d, *fields, build=build)
 
 
 def spelling(spark: SparkSession) -> DataFrame:
@@ -71,30 +90,29 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 def candidates(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
     """The n best products of each plain query by words."""
     q, c = plain_queries(spark, d), corpus(spark, d)
-    index = ix.build_index(c, ("word",))
     terms = retrieve.query_terms(q, ("word", "word", F.col("q_tok"), None))
-    scores = retrieve.bm25(terms, index, ("query_id",)).withColumn("score", F.round("score", retrieve.DIGITS))
+    scores = retrieve.bm25(terms, index(spark, d, "word"), ("query_id",)).withColumn("score", F.round("score", retrieve.DIGITS))
     return retrieve.fill(scores, q, c, n)
 
 
 def search(
-    corpus_: DataFrame, index: ix.Index, q: DataFrame, booster, ridge, spaces: tuple[models.LatentSpace, models.LatentSpace], top_k: int = 10, n: int = 100, semantic: tuple[DataFrame, DataFrame] | None = None
+    corpus_: DataFrame, idx: ix.Index, q: DataFrame, booster, ridge, spaces: tuple[models.LatentSpace, models.LatentSpace], top_k: int = 10, n: int = 100, semantic: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
     """Ranked results of understood queries with `mode`. semantic: query and product vectors, for candidates beside the lexical ones."""
-    lexical = retrieve.hybrid(q, index, corpus_, n)
+    lexical = retrieve.hybrid(q, idx, corpus_, n)
     found = lexical.select("query_id", "product_uid")
     if semantic:
         found = retrieve.merge(lexical, retrieve.knn(*semantic, n)).select("query_id", "product_uid")
-    full = model_inputs(found, q, corpus_, index, spaces)
+    full = model_inputs(found, q, corpus_, idx, spaces)
     scored = models.ridge_scores(ridge, models.booster_scores(booster, full))
     return rank.results(rank.blend(scored), corpus_, top_k)
 
 
-def model_inputs(found: DataFrame, q: DataFrame, corpus_: DataFrame, index: ix.Index, spaces) -> DataFrame:
+def model_inputs(found: DataFrame, q: DataFrame, corpus_: DataFrame, idx: ix.Index, spaces) -> DataFrame:
     """Candidates with all features and the ridge model's text."""
     keys = ["query_id", "product_uid"]
     full = rank.overlap_features(found, q, corpus_)
-    for more in (rank.field_scores(found, q, index), rank.tfidf_scores(found, q, index), models.lsa_scores(found, q, corpus_, *spaces)):
+    for more in (rank.field_scores(found, q, idx), rank.tfidf_scores(found, q, idx), models.lsa_scores(found, q, corpus_, *spaces)):
         full = full.join(more, keys)
     text = models.pair_text(F.col("q_norm"), F.col("product_title_norm"), F.col("product_description_norm"), F.col("brand_norm"))
     return full.join(q.select("query_id", "q_norm"), "query_id").join(corpus_.select("product_uid", "product_title_norm", "product_description_norm", "brand_norm"), "product_uid").withColumn("text", text).drop("q_norm", "product_title_norm", "product_description_norm", "brand_norm")
@@ -108,24 +126,27 @@ def labelled(full: DataFrame, spark: SparkSession, d: str) -> DataFrame:
 
 def trained(spark: SparkSession, d: str):
     """(corpus, index, queries with mode, booster, ridge, spaces): everything that search() needs."""
-    c = corpus(spark, d).cache()
-    index = ix.build_index(c)
-    q = understood(spark, d).withColumn("mode", F.lit("balanced")).cache()
-    docs = c.select(F.concat("title_tok", "desc_tok").alias("w")).withColumn("c", char_ngrams("w"))
-    spaces = (models.LatentSpace.fit(docs, "w", 512), models.LatentSpace.fit(docs, "c", 512))
-    found = retrieve.hybrid(q, index, c, 30).select("query_id", "product_uid")
-    full = labelled(model_inputs(found, q, c, index, spaces), spark, d).cache()
-    return c, index, q, models.fit_booster(full), models.fit_ridge(full), spaces
+
+    def build():
+        c, idx = corpus(spark, d), index(spark, d, "word", "gram", "title", "desc", "attr")
+        q = understood(spark, d).withColumn("mode", F.lit("balanced")).persist()
+        docs = c.select(F.concat("title_tok", "desc_tok").alias("w")).withColumn("c", char_ngrams("w"))
+        spaces = (models.LatentSpace.fit(docs, "w", 512), models.LatentSpace.fit(docs, "c", 512))
+        found = retrieve.hybrid(q, idx, c, 30).select("query_id", "product_uid")
+        full = labelled(model_inputs(found, q, c, idx, spaces), spark, d).persist()
+        return c, idx, q, models.fit_booster(full), models.fit_ridge(full), spaces
+
+    return _once(spark, d, "models", build=build)
 
 
 def search_end_to_end(spark: SparkSession, d: str) -> DataFrame:
-    c, index, q, booster, ridge, spaces = trained(spark, d)
-    return search(c, index, q, booster, ridge, spaces, 10, 50)
+    c, idx, q, booster, ridge, spaces = trained(spark, d)
+    return search(c, idx, q, booster, ridge, spaces, 10, 50)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The ten best products for one query, lexical ranking."""
     q = spell.understand(spark.createDataFrame([(1, "small wigdet")], "query_id long, raw_query string"), spelling(spark), typo_model(spark, d)).withColumn("mode", F.lit("aggressive"))
     c = corpus(spark, d)
-    best = retrieve.hybrid(q, ix.build_index(c, ("word", "gram")), c, 10)
+    best = retrieve.hybrid(q, index(spark, d, "word", "gram"), c, 10)
     return best.join(c.select("product_uid", "product_title"), "product_uid").select("query_id", "rank", "product_uid", "product_title", "score").orderBy("query_id", "rank")

@@ -178,7 +178,7 @@ def vocab_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {CORPUS}, {index_sql('word', 'title', 'desc', 'attr')} select field, term, df, round(idf, 6) as idf from terms")
 def term_idf(spark: SparkSession, d: str) -> DataFrame:
-    return ix.build_index(cat.corpus(spark, d), ("word", "title", "desc", "attr")).terms.withColumn("idf", F.round("idf", 6))
+    return cat.index(spark, d, "word", "title", "desc", "attr").terms.withColumn("idf", F.round("idf", 6))
 
 
 @query(f"with {CORPUS}, {index_sql('word', 'gram', 'title', 'desc', 'attr')} select field, n, round(avgdl, 6) as avgdl from fields")
@@ -198,13 +198,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def bm25_ngram(spark: SparkSession, d: str) -> DataFrame:
     q, c = cat.plain_queries(spark, d), cat.corpus(spark, d)
     terms = retrieve.query_terms(q, ("gram", "gram", text.char_ngrams("q_tok"), None))
-    scores = retrieve.bm25(terms, ix.build_index(c, ("gram",)), ("query_id",)).withColumn("score", F.round("score", 6))
+    scores = retrieve.bm25(terms, cat.index(spark, d, "gram"), ("query_id",)).withColumn("score", F.round("score", 6))
     return retrieve.fill(scores, q, c, N)
 
 
 def _hybrid(spark: SparkSession, d: str, mode: str) -> DataFrame:
     c = cat.corpus(spark, d)
-    return retrieve.hybrid(cat.plain_queries(spark, d).withColumn("mode", F.lit(mode)), ix.build_index(c, ("word", "gram")), c, N)
+    return retrieve.hybrid(cat.plain_queries(spark, d).withColumn("mode", F.lit(mode)), cat.index(spark, d, "word", "gram"), c, N)
 
 
 @query(hybrid_sql("balanced"))
@@ -306,7 +306,7 @@ def _field_variants(fields: tuple[str, ...]) -> str:
  from cand0 c left join sc s on s.query_id = c.query_id and s.uid = c.product_uid group by c.query_id, c.product_uid"""
 )
 def feat_bm25_fields(spark: SparkSession, d: str) -> DataFrame:
-    out = rank.field_scores(cat.candidates(spark, d, N), cat.plain_queries(spark, d), ix.build_index(cat.corpus(spark, d), ("title", "desc", "attr")))
+    out = rank.field_scores(cat.candidates(spark, d, N), cat.plain_queries(spark, d), cat.index(spark, d, "title", "desc", "attr"))
     return out.select("query_id", "product_uid", *(F.round(c, 6).alias(c) for c in ("score_bm25_title", "score_bm25_desc", "score_bm25_attr")))
 
 
@@ -322,13 +322,13 @@ def feat_bm25_fields(spark: SparkSession, d: str) -> DataFrame:
  from cand0 c left join s on s.query_id = c.query_id and s.uid = c.product_uid group by c.query_id, c.product_uid"""
 )
 def tfidf_dot(spark: SparkSession, d: str) -> DataFrame:
-    out = rank.tfidf_scores(cat.candidates(spark, d, N), cat.plain_queries(spark, d), ix.build_index(cat.corpus(spark, d), ("title", "desc")))
+    out = rank.tfidf_scores(cat.candidates(spark, d, N), cat.plain_queries(spark, d), cat.index(spark, d, "title", "desc"))
     return out.select("query_id", "product_uid", *(F.round(c, 6).alias(c) for c in ("score_tfidf_title", "score_tfidf_desc")))
 
 
 @query()
 def lsa_scores(spark: SparkSession, d: str) -> DataFrame:
-    c = cat.corpus(spark, d).cache()
+    c = cat.corpus(spark, d)
     docs = c.select(F.concat("title_tok", "desc_tok").alias("w")).withColumn("c", text.char_ngrams("w"))
     spaces = models.LatentSpace.fit(docs, "w", 512), models.LatentSpace.fit(docs, "c", 512)
     return models.lsa_scores(cat.candidates(spark, d, N), cat.plain_queries(spark, d), c, *spaces)
