@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import with_fields
+
 # HTML's own sets of elements: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript title iframe object svg math canvas audio video select textarea datalist".split())
@@ -436,13 +438,9 @@ def extract(pages: DataFrame, model: Field | None = None, source: str = "html",
     Null and empty html give an empty text and no blocks. Columns of these two names in the input
     are replaced, all others stay. Rows are independent; nothing is shuffled.
     """
-    from pyspark.sql.types import StructType
-
     added = ["main_text"] + ["blocks"] * blocks
     src = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in added))
-    schema = StructType(list(src.schema.fields)).add("main_text", "string")
-    if blocks:
-        schema = schema.add("blocks", "array<struct<text:string,tag:string,main:boolean>>")
+    schema = with_fields(src, "main_text string" + ", blocks array<struct<text:string,tag:string,main:boolean>>" * blocks)
     held = src.sparkSession.sparkContext.broadcast(model or default_field())  # a few hundred weights
     kind = pa.list_(pa.struct([("text", pa.string()), ("tag", pa.string()), ("main", pa.bool_())]))
 

@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from lodestone.llm.blocks import sub_blocks, text_bytes
-from lodestone.llm.shared import bounded_ids, fold
+from lodestone.llm.shared import bounded_ids, fold, with_fields
 
 TRAIN_ROWS = 6000
 BUCKETS = 1 << 16
@@ -203,9 +202,7 @@ def identify(docs: DataFrame, model: LanguageModel, spans: bool = False) -> Data
     added = ["lang_pred", "lang_score"] + ["lang_spans"] * spans
     keep = [c for c in docs.columns if c not in added]
     src = docs.select(*(F.col(f"`{c}`") for c in keep))
-    schema = StructType(list(src.schema.fields)).add("lang_pred", "string").add("lang_score", "double")
-    if spans:
-        schema = schema.add("lang_spans", "array<struct<lang:string,start:bigint,end:bigint>>")
+    schema = with_fields(src, "lang_pred string, lang_score double" + ", lang_spans array<struct<lang:string,start:bigint,end:bigint>>" * spans)
     held = src.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

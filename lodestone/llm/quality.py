@@ -16,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from lodestone.llm.blocks import LOWER, hash_words, ragged, sub_blocks, sum_by, text_bytes, word_spans
-from lodestone.llm.shared import bounded_ids, fold
+from lodestone.llm.shared import bounded_ids, fold, with_fields
 
 TRAIN_ROWS = 8000
 WORD_BITS = 15
@@ -208,7 +207,7 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
     src = _texts(docs)
-    return src.mapInArrow(run, StructType(list(src.select("doc_id").schema.fields)).add("score", "double"))
+    return src.mapInArrow(run, with_fields(src.select("doc_id"), "score double"))
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -23,9 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from lodestone.llm.blocks import LOWER, sub_blocks, text_bytes
+from lodestone.llm.shared import with_fields
 
 try:
     from re import _constants as sre_c
@@ -269,9 +269,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     added = ["secret_spans"] + (["redacted"] if mark is not None else [])
     keep = [c for c in docs.columns if c not in added]
     src = docs.select(*(F.col(f"`{c}`") for c in keep))
-    schema = StructType(list(src.schema.fields)).add("secret_spans", "array<struct<kind:string,start:bigint,end:bigint>>")
-    if mark is not None:
-        schema = schema.add("redacted", "string")
+    schema = with_fields(src, "secret_spans array<struct<kind:string,start:bigint,end:bigint>>" + (", redacted string" if mark is not None else ""))
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

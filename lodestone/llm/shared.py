@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """df's schema and the fields of a DDL string."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def fold(key: Column, buckets: int) -> Column:
     """crc32 of the key as text, modulo buckets: the split that the contracts fix."""
     return F.crc32(key.cast("string")) % F.lit(buckets)
