@@ -25,6 +25,7 @@ TRAIN_ROWS = 4000
 LEXICON = 96
 #: A word must occur in so many sampled documents.
 SUPPORT = 8
+EVIDENCE = 30.0
 MU = 0.005
 STEPS = 80
 TOLERANCE = 1e-6
@@ -96,10 +97,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Members
     prior = {d: math.log((count[d] + 0.5) / (n + 0.5 * len(DOMAINS))) for d in DOMAINS}
     stats = {d: {s: ((got.get(d) or whole)[f"m_{s}"] or 0.0, max((got.get(d) or whole)[f"s_{s}"] or 0.0, _LEAST_SPREAD)) for s in STATS} for d in DOMAINS}
     seen = marked.select("domain", F.explode("__words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS)).where(F.col("n") >= SUPPORT)
-    rate = [(F.col(d) + 0.5) / (count[d] + 1.0) for d in DOMAINS]
-    # how far the domains' rates of a word lie apart, against chance
-    apart = (F.greatest(*rate) - F.least(*rate)) / F.sqrt((F.col("n") + 1.0) / (n + 1.0))
-    top = seen.select("word", *DOMAINS, apart.alias("apart")).orderBy(F.desc("apart"), "word").limit(LEXICON).collect()
+    # likelihood-ratio statistic of word against domain: chance alone keeps it under EVIDENCE
+    some = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    statistic = F.lit(0.0)
+    for d in DOMAINS:
+        if count[d]:
+            held, share = F.col(d).cast("double"), count[d] / n
+            statistic = statistic + 2 * (some(held, F.col("n") * share) + some(count[d] - held, F.greatest((n - F.col("n")) * share, F.lit(1e-9))))
+    top = seen.select("word", *DOMAINS, statistic.alias("apart")).where(F.col("apart") >= EVIDENCE).orderBy(F.desc("apart"), "word").limit(LEXICON).collect()
     words = {}
     for r in top:
         p = [(r[d] + 0.5) / (count[d] + 1.0) for d in DOMAINS]
