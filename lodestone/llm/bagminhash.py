@@ -10,8 +10,8 @@ fills all registers, so a signature costs about m log m points however long the
 
 Signatures are banded. The members of a bucket are linked to its first member; pairs are
 verified on the whole texts by exact weighted Jaccard. Where a bucket still holds several
-classes, a small one is compared pair by pair across classes, a large one is split by further
-bands (see ``near_duplicates``). No bucket is capped and none emits all its pairs.
+classes, the members outside its largest class meet the others if they are few; else it is
+split by further bands (see ``near_duplicates``). No bucket is capped and none emits all its pairs.
 
 Exact copies collapse before all this, by a hash of their words. Classes are connected
 components, found by alternating large-star and small-star rounds over written tables.
@@ -33,8 +33,8 @@ from lodestone.llm.shared import written
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 26, 5
-#: Buckets of up to so many members are compared class by class; larger ones are split by further bands.
-SMALL = 32
+#: Where up to so many members of a bucket lie outside its largest class, classes are compared member by member; other buckets are split by further bands.
+MINOR = 16
 REGISTERS = BANDS * ROWS
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xD1B54A32D192ED03)
@@ -176,33 +176,39 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
 
-def _sum(df: DataFrame) -> tuple:
-    """Rows and checksum of a two-column table of edges without repeats."""
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges u -> v are stars: every u has one v, and no v is a u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or out = 1 and in = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, root (the least id of its component) of all ids in edges a, b: large-star and small-star until nothing moves.
+    """id, root (the least id of its component) of all ids in edges a, b that are no roots: large-star and small-star rounds until only stars are left.
 
     Every input of a join is a written table, so Spark may split the rows of a hub over tasks;
     a hub's neighbours are never gathered in one row.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _sum(e)
-    while True:
+    while not _settled(e):
         # large-star: the larger neighbours of a node point to its least neighbour, or to itself
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "edges")
         # small-star: a node and its smaller neighbours point to the least of them
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        nxt = written(nxt, "edges")
-        now = _sum(nxt)
-        if now == state:
-            return nxt.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(nxt.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
-        e, state = nxt, now
+        e = written(nxt, "edges")
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after further links: the classes that they join are contracted to their roots first, so few edges are left."""
+    root_of = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+    between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    above = components(between)
+    moved = roots.join(above.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(above), "roots")
 
 
 def _pair(x: str, y: str, weight_x: str, weight_y: str):
@@ -230,8 +236,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     count as one document with one text of theirs and each get its class. A row without doc_id
     gets a null class and takes no part. Other columns are not read.
 
-    Stubborn buckets, those of more than SMALL members that verification leaves in several
-    classes (texts that share a long passage but are not similar), are split by each further
+    A bucket that verification leaves in several classes has up to MINOR members outside its
+    largest class, which meet all others (at most MINOR pairs a member), or it is stubborn: many
+    texts that share a long passage but are not similar. Stubborn buckets are split by each further
     band, again and again: similar texts agree in many bands, others fall apart. So the work
     stays linear in the members, and no bucket is capped.
     """
@@ -240,12 +247,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = src.select("id", F.when(~empty, F.md5("text")).alias("key"), "text")
     signed = written(keyed.mapInArrow(_signed, "id long, key string, weight long, bands array<long>"), "signed")
     # copies: one document of each text goes on
-    reps = written(signed.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id")), "copies")
+    reps = signed.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"))
     one = signed.join(reps, ["id", "key"]).dropDuplicates(["id"]).select("id", "weight", "bands")
     one = written(one, "signed")
 
     members = one.select("id", "weight", F.posexplode("bands").alias("last", "bucket"))
-    texts, links, tested, roots = None, [], [], None
+    texts, tested, roots = None, [], None
+
+    def link(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Tests the new pairs among `pairs` and joins the classes that they link."""
+        fresh = written(_untested(pairs, tested), "pairs")
+        tested.append(fresh)
+        links = written(_similar(fresh, texts), "links")
+        if roots is None:
+            return components(links)
+        return roots if links.isEmpty() else _merged(roots, links)
+
     while True:
         shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "weight")).alias("head")).where("n > 1")
         shared = written(shared.select("bucket", "n", F.col("head.id").alias("head"), F.col("head.weight").alias("head_weight")), "shared")
@@ -254,24 +271,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             ids = members.select("id").distinct()
             texts = written(src.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
         near, a, b = _pair("id", "head", "weight", "head_weight")
-        pairs = written(_untested(members.where((F.col("id") != F.col("head")) & near).select(a, b), tested), "pairs")
-        tested.append(pairs)
-        links.append(written(_similar(pairs, texts), "links"))
-        roots = written(components(reduce(DataFrame.unionByName, links)), "roots")
-        # buckets in which several classes are left
-        classed = written(members.join(roots, "id", "left").select("bucket", "n", "id", "weight", "last", F.coalesce("root", "id").alias("class")), "classed")
-        open_ = written(classed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket"), "open")
-        left = written(classed.join(open_, "bucket", "left_semi"), "left")
-        few = left.where(F.col("n") <= SMALL)
+        roots = link(members.where((F.col("id") != F.col("head")) & near).select(a, b), roots)
+        # buckets in which several classes are left, with their largest class
+        classed = members.join(roots, "id", "left").select("bucket", "n", "id", "weight", "last", F.coalesce("root", "id").alias("class"))
+        classed = written(classed, "classed")
+        sizes = classed.groupBy("bucket", "class", "n").agg(F.count("*").alias("size"))
+        open_ = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("top"), F.first("n").alias("n")).where("top.size < n")
+        open_ = written(open_.select("bucket", F.col("top.class").alias("most"), (F.col("n") - F.col("top.size")).alias("minor")), "open")
+        left = classed.join(open_, "bucket")
+        # up to MINOR members outside the largest class meet every member of other classes
+        few = left.where(F.col("minor") <= MINOR).select("bucket", "id", "weight", "class", "most")
+        other = few.where(F.col("class") != F.col("most")).select("bucket", F.col("id").alias("other"), F.col("weight").alias("other_weight"), F.col("class").alias("other_class"))
         near, a, b = _pair("id", "other", "weight", "other_weight")
-        other = few.select("bucket", F.col("id").alias("other"), F.col("weight").alias("other_weight"), F.col("class").alias("other_class"))
-        pairs = few.join(other, "bucket").where((F.col("id") < F.col("other")) & (F.col("class") != F.col("other_class")) & near).select(a, b)
-        pairs = written(_untested(pairs, tested), "pairs")
-        tested.append(pairs)
-        links.append(written(_similar(pairs, texts), "links"))
-        if not links[-1].isEmpty():
-            roots = written(components(reduce(DataFrame.unionByName, links)), "roots")
-        stubborn = left.where(F.col("n") > SMALL).select("bucket", "id", "weight", "last").join(one.select("id", "bands"), "id")
+        roots = link(few.join(other, "bucket").where((F.col("class") != F.col("other_class")) & near).select(a, b), roots)
+        stubborn = left.where(F.col("minor") > MINOR).select("bucket", "id", "weight", "last").join(one.select("id", "bands"), "id")
         further = stubborn.select("id", "weight", "bucket", F.posexplode("bands").alias("further", "band")).where("further > last")
         members = written(further.select("id", "weight", F.col("further").alias("last"), F.xxhash64("bucket", "band").alias("bucket")), "members")
         if members.isEmpty():
