@@ -23,6 +23,8 @@ SUBSET = 0.75
 STEPS = 4
 #: Groups of fewer texts that pass the base rules are not judged.
 LEAST_GROUP = 50
+#: Groups whose estimates are broadcast: at most so many, of 25 numbers each.
+MAX_BROADCAST = 20_000
 #: Ridge on the scatter: a tenth in the root of a ratio is no evidence, and constant statistics stay regular.
 RIDGE = 1e-2
 VECTOR = ("x0", "x1", "x2", "x3", "x4")
@@ -76,6 +78,11 @@ def transformed() -> list[Column]:
     ]
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table of groups, marked for broadcast while it has at most MAX_BROADCAST rows; beyond it both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
 def _distance(centre, scatter) -> Column:
     """Squared Mahalanobis distance of VECTOR by the Cholesky factor of the scatter, unrolled.
 
@@ -105,7 +112,7 @@ def _factored(groups: DataFrame, keys: list[str]) -> DataFrame:
 
 def _with_distance(points: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
     """points with d2; where a group has no estimate d2 is null."""
-    joined = points.join(factors, keys, "left")
+    joined = points.join(_small(factors), keys, "left")
     return joined.withColumn("d2", _distance(lambda i: F.col(f"m{i}"), lambda i, j: F.col(f"l{i}{j}"))).select(*points.columns, "d2")
 
 
@@ -126,7 +133,7 @@ def mcd(points: DataFrame, keys: list[str], steps: int = STEPS, subset: float =
     d = len(VECTOR)
     middle = points.groupBy(*keys).agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(VECTOR)), F.count("*").alias("n")).where(F.col("n") >= LEAST_GROUP)
     middle = written(middle, "middle")
-    off = points.join(middle.select(*keys, *(f"m{i}" for i in range(d))), keys)
+    off = points.join(_small(middle).select(*keys, *(f"m{i}" for i in range(d))), keys)
     spread = off.groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, x in enumerate(VECTOR)))
     start = middle.join(spread, keys).select(*keys, *(f"m{i}" for i in range(d)), *((F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)))
     factors = written(_factored(start, keys), "factors")
@@ -136,7 +143,7 @@ def mcd(points: DataFrame, keys: list[str], steps: int = STEPS, subset: float =
         if step == steps:  # consistency: the h-th distance is where it belongs for normal data
             scale = F.greatest(F.sqrt(F.col("cut") / CHI_SUBSET), F.lit(1e-6))
             return written(factors.join(cut, keys).select(*keys, *(f"m{i}" for i in range(d)), *((F.col(f"l{i}{j}") * scale).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1))), "mcd")
-        kept = near.join(cut, keys).where("d2 <= cut")
+        kept = near.join(_small(cut), keys).where("d2 <= cut")
         factors = written(_factored(_moments(kept, keys), keys), "factors")
     raise AssertionError
 
