@@ -30,6 +30,13 @@ class Index:
     postings: DataFrame  # field, product_uid, term, tf, dl
     terms: DataFrame  # field, term, df, idf
     fields: DataFrame  # field, n, avgdl
+    _negative: bool | None = None
+
+    def negative(self) -> bool:
+        """Whether any idf is below 0: on tiny corpora only, asked once."""
+        if self._negative is None:
+            self._negative = not self.terms.where("idf < 0").isEmpty()
+        return self._negative
 
     def write(self, path: str) -> None:
         """Postings lie by field and hashed term, so a probe reads the files of its field."""

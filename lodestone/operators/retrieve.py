@@ -86,23 +86,21 @@ def top_n(scores: DataFrame, n: int, key: str = "query_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
 
 
-def fill(scores: DataFrame, queries: DataFrame, corpus: DataFrame, n: int) -> DataFrame:
+def fill(scores: DataFrame, queries: DataFrame, corpus: DataFrame, n: int, negative: bool = False) -> DataFrame:
     """Top n of every query where documents without a hit score 0.
 
-    A query with fewer than n hits of positive score is topped up from the documents of the
-    largest ids. At most n + hits of those can be needed and it has under n positive ones, so 2n
-    ids serve all such queries: the cost is queries x n, not queries x corpus. A query with
-    negative scores (tiny corpora only) is laid out in full.
+    Each query is given the 2n documents of the largest ids with score 0, which add nothing to a
+    hit: if they are all hits there are n better ones anyway. So the cost is queries x n, not
+    queries x corpus, and scores are read once. negative: scores may fall below 0 (only if an idf
+    does, see ``Index.negative``); then zero documents are laid out in full.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    some = scores.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("hits"), F.count_if(F.col("score") < 0).alias("below"))
-    need = queries.select("query_id").join(some, "query_id", "left").where("coalesce(hits, 0) < %d" % n)
-    pool = corpus.select("product_uid").orderBy(F.desc("product_uid")).limit(2 * n)
-    empty = need.where("coalesce(below, 0) = 0").select("query_id").crossJoin(F.broadcast(pool))  # at most 2n ids
-    whole = need.where("below > 0").select("query_id").crossJoin(corpus.select("product_uid"))
-    zeros = empty.unionByName(whole).join(scores.select("query_id", "product_uid"), ["query_id", "product_uid"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_n(scores.select("query_id", "product_uid", "score").unionByName(zeros), n)
+    ids = corpus.select("product_uid")
+    pool = ids if negative else F.broadcast(ids.orderBy(F.desc("product_uid")).limit(2 * n))  # at most 2n ids
+    zeros = queries.select("query_id").crossJoin(pool).withColumn("score", F.lit(0.0))
+    both = scores.select("query_id", "product_uid", "score").unionByName(zeros)
+    return top_n(both.groupBy("query_id", "product_uid").agg(F.sum("score").alias("score")), n)
 
 
 #: Query vectors that meet a document vector in one row.
@@ -131,4 +129,4 @@ def merge(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
 
 def hybrid(q: DataFrame, index: Index, corpus: DataFrame, n: int = 100) -> DataFrame:
     """query_id, product_uid, score, rank: lexical retrieval of understood queries with `mode`."""
-    return fill(fuse(bm25(variant_terms(q), index), q), q, corpus, n)
+    return fill(fuse(bm25(variant_terms(q), index), q), q, corpus, n, index.negative())

@@ -15,6 +15,17 @@ SPELLING = (("smal", "small"), ("gizom", "gizmo"), ("blue blot", "blue bolt"), (
 EXTRA_QUERIES = ((100001, "red couch"), (100002, "small wigdet"), (100003, "gizom"), (100004, "blue blot"), (100005, "lrage palte"), (100006, "Red Ring 12"), (100007, "old old anvil"), (100008, "torch the and of"), (100009, "xqzv"))
 
 
+_kept: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, *key: str, build):
+    """What a session builds once per folder and keeps in Spark's storage (memory, then disk), as an engine loads its corpus once."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -34,17 +45,6 @@ def attributes(spark: SparkSession, d: str) -> DataFrame:
     return x.select("product_uid", "x.name", "x.value", (F.col("product_uid") * 3 + F.col("x.i")).alias("pos"))
 
 
-_kept: dict[tuple, object] = {}
-
-
-def _once(spark: SparkSession, *key: str, build):
-    """What a session builds once per folder and keeps in Spark's storage (memory, then disk), as an engine loads its corpus once."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _kept:
-        _kept[key] = build()
-    return _kept[key]
-
-
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d, "corpus", build=lambda: with_tokens(build_corpus(descriptions(spark, d), titles(spark, d), attributes(spark, d))).persist())
 
@@ -70,7 +70,7 @@ def queries(spark: SparkSession, d: str, extra: bool = True) -> DataFrame:
 def plain_queries(spark: SparkSession, d: str) -> DataFrame:
     """Queries understood without dictionaries: synonyms alone change them."""
     q = queries(spark, d).withColumn("raw_tok", tokens("raw_query"))
-    return spell.finish(q.withColumn("toks", F.col("raw_tok")))
+    return _once(spark, d, "plain", build=lambda: spell.finish(q.withColumn("toks", F.col("raw_tok"))).persist())
 
 
 def typo_model(spark: SparkSession, d: str) -> ix.TypoModel:
@@ -89,10 +89,10 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def candidates(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
     """The n best products of each plain query by words."""
-    q, c = plain_queries(spark, d), corpus(spark, d)
+    q, c, idx = plain_queries(spark, d), corpus(spark, d), index(spark, d, "word")
     terms = retrieve.query_terms(q, ("word", "word", F.col("q_tok"), None))
-    scores = retrieve.bm25(terms, index(spark, d, "word"), ("query_id",)).withColumn("score", F.round("score", retrieve.DIGITS))
-    return retrieve.fill(scores, q, c, n)
+    scores = retrieve.bm25(terms, idx, ("query_id",)).withColumn("score", F.round("score", retrieve.DIGITS))
+    return retrieve.fill(scores, q, c, n, idx.negative())
 
 
 def search(

@@ -198,8 +198,9 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def bm25_ngram(spark: SparkSession, d: str) -> DataFrame:
     q, c = cat.plain_queries(spark, d), cat.corpus(spark, d)
     terms = retrieve.query_terms(q, ("gram", "gram", text.char_ngrams("q_tok"), None))
-    scores = retrieve.bm25(terms, cat.index(spark, d, "gram"), ("query_id",)).withColumn("score", F.round("score", 6))
-    return retrieve.fill(scores, q, c, N)
+    idx = cat.index(spark, d, "gram")
+    scores = retrieve.bm25(terms, idx, ("query_id",)).withColumn("score", F.round("score", 6))
+    return retrieve.fill(scores, q, c, N, idx.negative())
 
 
 def _hybrid(spark: SparkSession, d: str, mode: str) -> DataFrame:
