@@ -472,10 +472,10 @@ def profile_ring(spark: SparkSession, d: str) -> DataFrame:
     return profile.newest(cat.table(spark, d, "events")).select("event_id", "event_type", "value")
 
 
-@query("select epoch_us(date_trunc('hour', ts)) as window_start, event_type as mode, count(*) as n, round(avg(value), 6) as avg_latency, max(value) as max_latency from events group by all")
+@query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type as mode, count(*) as n, round(avg(value), 6) as avg_latency, max(value) as max_latency from events group by all")
 def profile_windows(spark: SparkSession, d: str) -> DataFrame:
     """The stream's aggregation over the table; the stream itself is tested on files."""
-    return windowed(cat.table(spark, d, "events")).withColumn("window_start", F.unix_micros("window_start"))
+    return windowed(cat.table(spark, d, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("select page_id, coalesce(nullif(regexp_extract(lower(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1)), '(\\.jpg|\\.jpeg|\\.png|\\.webp|\\.gif)$', 1), ''), '.jpg') as by_url, case page_id % 3 when 0 then '.png' when 1 then '.webp' else coalesce(nullif(regexp_extract(lower(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1)), '(\\.jpg|\\.jpeg|\\.png|\\.webp|\\.gif)$', 1), ''), '.jpg') end as by_type from pages")
