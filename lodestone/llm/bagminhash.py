@@ -34,7 +34,7 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 26, 5
 #: Where up to so many members of a bucket lie outside its largest class, classes are compared member by member; other buckets are split by further bands.
-MINOR = 16
+MINOR = 48
 REGISTERS = BANDS * ROWS
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xD1B54A32D192ED03)
