@@ -10,8 +10,8 @@ fills all registers, so a signature costs about m log m points however long the
 
 Signatures are banded. The members of a bucket are linked to its first member; pairs are
 verified on the whole texts by exact weighted Jaccard. Where a bucket still holds several
-classes, the members outside its largest class meet the others if they are few; else it is
-split by further bands (see ``near_duplicates``). No bucket is capped and none emits all its pairs.
+classes, the members outside its largest class meet the others if they are few; else its members
+go to an exact join by prefixes of their shingles (see ``near_duplicates``). No bucket is capped.
 
 Exact copies collapse before all this, by a hash of their words. Classes are connected
 components, found by alternating large-star and small-star rounds over written tables.
@@ -33,9 +33,11 @@ from lodestone.llm.shared import written
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 26, 5
-#: Where up to so many members of a bucket lie outside its largest class, classes are compared member by member; other buckets are split by further bands.
+#: Where up to so many members of a bucket lie outside its largest class, classes are compared member by member; members of other buckets are joined by prefixes.
 MINOR = 48
 REGISTERS = BANDS * ROWS
+#: Cells that count tokens for the order of prefixes; collisions cost time, not pairs.
+CELLS = 1 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xD1B54A32D192ED03)
 _UNIT = 2.0**-53
@@ -156,6 +158,49 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (total - both) if total else 0.0
 
 
+def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, text, token) of each sub-block: the k-th copy of a shingle is a token of its own, so multisets become sets."""
+    data, offsets = text_bytes(column)
+    for at, _, d, o in sub_blocks(data, offsets):
+        doc, s, c = shingles(d, o)
+        copy = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        yield at, np.repeat(doc, c), mix(np.repeat(s, c) + copy.astype(np.uint64) * _K)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, token in _tokens(batch.column("text")):
+            cell, n = np.unique((token % np.uint64(CELLS)).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """id, weight, bucket (a token), pos: the first tokens of each text, rare ones first.
+
+    texts: id, text. Two texts whose first common token stands at positions p and q share at most
+    min(weight - p, weight' - q) tokens, so those of similarity >= SIMILAR have it at positions of
+    at most (1 - SIMILAR) weight. That holds for any order of all tokens.
+    """
+    counted = texts.select("text").mapInArrow(_cell_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(CELLS, np.int64)
+    cells[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for at, doc, token in _tokens(batch.column("text")):
+                order = np.lexsort((token, held.value[(token % np.uint64(CELLS)).astype(np.int64)], doc))
+                doc, token = doc[order], token[order]
+                weight = np.bincount(doc)
+                pos = np.arange(len(doc)) - (np.cumsum(weight) - weight)[doc]
+                weight = weight[doc]
+                use = weight - pos >= SIMILAR * weight - 1e-6
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + doc[use]]), pa.array(weight[use]), pa.array(token[use].view(np.int64)), pa.array(pos[use])], names=["id", "weight", "bucket", "pos"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, weight long, bucket long, pos long")
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the pairs (a, b, text_a, text_b), those that are similar; each distinct text of a batch is shingled once."""
     for batch in batches:
@@ -211,9 +256,16 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(above), "roots")
 
 
-def _pair(x: str, y: str, weight_x: str, weight_y: str):
-    """Columns a < b of two members whose total weights allow the similarity."""
-    return F.greatest(weight_x, weight_y) * SIMILAR <= F.least(weight_x, weight_y), F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+def _enough(rest, weight_x, weight_y):
+    """Whether `rest` common tokens, at most, allow the similarity of two total weights."""
+    return (1 + SIMILAR) * rest >= SIMILAR * (F.col(weight_x) + weight_y) - 1e-6
+
+
+def _pair(x: str, y: str):
+    """Columns a < b of two members whose total weights and positions allow the similarity; columns of y start with its name."""
+    wx, wy = F.col("weight"), F.col(f"{y}_weight")
+    near = (F.greatest(wx, wy) * SIMILAR <= F.least(wx, wy)) & _enough(F.least(wx - F.col("pos"), wy - F.col(f"{y}_pos")), "weight", wy)
+    return near, F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -238,9 +290,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A bucket that verification leaves in several classes has up to MINOR members outside its
     largest class, which meet all others (at most MINOR pairs a member), or it is stubborn: many
-    texts that share a long passage but are not similar. Stubborn buckets are split by each further
-    band, again and again: similar texts agree in many bands, others fall apart. So the work
-    stays linear in the members, and no bucket is capped.
+    texts that share a long passage but are not similar. The members of stubborn buckets are joined
+    exactly, once: by the tokens of their prefixes (see ``prefixes``) in place of bands, whose
+    buckets have no limit. Tokens of the passage come last in the order, past the prefixes of texts
+    of like weights, so few pairs are met that are not similar; where weights differ, a common
+    token may bring together many pairs, all of which are tested against weights and positions.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     empty = ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
@@ -251,7 +305,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = signed.join(reps, ["id", "key"]).dropDuplicates(["id"]).select("id", "weight", "bands")
     one = written(one, "signed")
 
-    members = one.select("id", "weight", F.posexplode("bands").alias("last", "bucket"))
+    members = one.select("id", "weight", F.lit(0).cast("long").alias("pos"), F.explode("bands").alias("bucket"))
     texts, tested, roots = None, [], None
 
     def link(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -263,32 +317,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             return components(links)
         return roots if links.isEmpty() else _merged(roots, links)
 
-    while True:
-        shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "weight")).alias("head")).where("n > 1")
-        shared = written(shared.select("bucket", "n", F.col("head.id").alias("head"), F.col("head.weight").alias("head_weight")), "shared")
-        members = written(members.join(shared, "bucket"), "members")
+    for exact in (False, True):
+        head = F.min(F.struct("id", "weight", "pos")).alias("head")
+        shared = members.groupBy("bucket").agg(F.count("*").alias("n"), head, F.min("weight").alias("lightest")).where("n > 1")
+        shared = written(shared.select("bucket", "lightest", F.col("head.id").alias("head"), F.col("head.weight").alias("head_weight"), F.col("head.pos").alias("head_pos")), "shared")
+        # beyond its prefix against the lightest partner that it has here, a member meets none
+        of_use = _enough(F.col("weight") - F.col("pos"), "weight", F.greatest(SIMILAR * F.col("weight"), F.col("lightest")))
+        members = written(members.join(shared, "bucket").where(of_use), "members")
         if texts is None:
             ids = members.select("id").distinct()
             texts = written(src.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-        near, a, b = _pair("id", "head", "weight", "head_weight")
+        near, a, b = _pair("id", "head")
         roots = link(members.where((F.col("id") != F.col("head")) & near).select(a, b), roots)
         # buckets in which several classes are left, with their largest class
-        classed = members.join(roots, "id", "left").select("bucket", "n", "id", "weight", "last", F.coalesce("root", "id").alias("class"))
+        classed = members.join(roots, "id", "left").select("bucket", "id", "weight", "pos", F.coalesce("root", "id").alias("class"))
         classed = written(classed, "classed")
-        sizes = classed.groupBy("bucket", "class", "n").agg(F.count("*").alias("size"))
-        open_ = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("top"), F.first("n").alias("n")).where("top.size < n")
+        sizes = classed.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+        open_ = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("top"), F.sum("size").alias("n")).where("top.size < n")
         open_ = written(open_.select("bucket", F.col("top.class").alias("most"), (F.col("n") - F.col("top.size")).alias("minor")), "open")
         left = classed.join(open_, "bucket")
-        # up to MINOR members outside the largest class meet every member of other classes
-        few = left.where(F.col("minor") <= MINOR).select("bucket", "id", "weight", "class", "most")
-        other = few.where(F.col("class") != F.col("most")).select("bucket", F.col("id").alias("other"), F.col("weight").alias("other_weight"), F.col("class").alias("other_class"))
-        near, a, b = _pair("id", "other", "weight", "other_weight")
+        # up to MINOR members outside the largest class, or all in the exact join, meet every member of other classes
+        few = left.where(F.lit(exact) | (F.col("minor") <= MINOR)).select("bucket", "id", "weight", "pos", "class", "most")
+        other = few.where(F.col("class") != F.col("most")).select("bucket", *(F.col(x).alias(y) for x, y in (("id", "other"), ("weight", "other_weight"), ("pos", "other_pos"), ("class", "other_class"))))
+        near, a, b = _pair("id", "other")
         roots = link(few.join(other, "bucket").where((F.col("class") != F.col("other_class")) & near).select(a, b), roots)
-        stubborn = left.where(F.col("minor") > MINOR).select("bucket", "id", "weight", "last").join(one.select("id", "bands"), "id")
-        further = stubborn.select("id", "weight", "bucket", F.posexplode("bands").alias("further", "band")).where("further > last")
-        members = written(further.select("id", "weight", F.col("further").alias("last"), F.xxhash64("bucket", "band").alias("bucket")), "members")
-        if members.isEmpty():
+        if exact:
+            break
+        stubborn = written(texts.join(left.where(F.col("minor") > MINOR).select("id").distinct(), "id", "left_semi"), "stubborn")
+        if stubborn.isEmpty():
             break
+        members = written(prefixes(stubborn), "members")
     by_key = reps.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("class"))
     return signed.select("id", "key").join(by_key, "key", "left").select(F.col("id").alias("doc_id"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class")).alias("class_id"))
 

@@ -250,6 +250,37 @@ def test_classes_with_shared_passages_and_hubs(spark):
     assert got == brute_classes(dict(rows))
 
 
+@pytest.mark.parametrize(("n", "n_pairs", "minor"), [(3000, 300, bmh.MINOR), (300, 150, 2)])
+def test_near_copies_among_texts_that_share_a_passage(spark, monkeypatch, n, n_pairs, minor):
+    """Others at 0.779 to each other, pairs at 0.806: buckets with many members outside the largest class lose no pair, whatever MINOR is."""
+    monkeypatch.setattr(bmh, "MINOR", minor)
+    passage = [f"p{i}" for i in range(110)]
+    own = lambda i, m: [f"w{i}x{j}" for j in range(m)]
+    texts = {i: passage + own(i, 15) for i in range(n)}
+    pairs = {i: 10_000 + i for i in range(n_pairs)}
+    texts |= {b: texts[a][:112] + own(b, 13) for a, b in pairs.items()}
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in bmh.near_duplicates(df).collect()}
+    assert got == {i: i - 10_000 if i >= 10_000 else i for i in texts}
+
+
+def test_prefixes_of_similar_texts_meet(spark):
+    rng = random.Random(8)
+    texts = {i: [rng.choice("abcdefgh") for _ in range(30)] for i in range(8)}
+    for i in range(8, 120):
+        texts[i] = list(texts[rng.randrange(i)])
+        texts[i][rng.randrange(len(texts[i]))] = rng.choice("abcdefgh")
+        texts[i] += ["a"] * rng.randint(0, 3)
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "id long, text string")
+    rows = bmh.prefixes(df).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.id, set()).add(r.bucket)
+    bags = {i: Counter(zip(*(x[j:] for j in range(5)), strict=False)) for i, x in texts.items()}
+    close = [(a, b) for a in bags for b in bags if a < b and (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total()]
+    assert len(close) > 20 and all(held[a] & held[b] for a, b in close)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = random.Random(1)
     texts, true = [], []
