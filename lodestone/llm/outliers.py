@@ -21,7 +21,7 @@ from lodestone.llm.shared import written
 #: Share of a group that the estimate rests on.
 SUBSET = 0.75
 STEPS = 4
-#: Groups of fewer texts that pass the base rules are not judged.
+#: Groups of fewer texts that pass the base rules are judged by the estimate of their language, or else of the whole table.
 LEAST_GROUP = 50
 #: Groups whose estimates are broadcast: at most so many, of 25 numbers each.
 MAX_BROADCAST = 20_000
@@ -148,13 +148,30 @@ def mcd(points: DataFrame, keys: list[str], steps: int = STEPS, subset: float =
     raise AssertionError
 
 
+def _estimates(points: DataFrame, keys: list[str], wider: list[str]) -> DataFrame:
+    """Centre and factor for every group of points by keys: its own estimate, or where it is small that by the keys `wider`, or else that of all points."""
+    own = mcd(points, keys)
+    small = written(points.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") < LEAST_GROUP).select(*keys), "small")
+    if small.isEmpty():
+        return own
+    some = points.join(_small(written(small.select(*wider).distinct(), "wider")), wider, "left_semi")
+    pooled = mcd(some, wider)
+    out = own.unionByName(small.join(pooled, wider).select(*own.columns))
+    rest = written(small.join(pooled, wider, "left_anti"), "rest")
+    if not rest.isEmpty():
+        whole = mcd(points.withColumn("g_all", F.lit(0)), ["g_all"]).drop("g_all")
+        out = out.unionByName(rest.crossJoin(F.broadcast(whole)).select(*own.columns))
+    return written(out, "estimates")
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     docs: doc_id, text, lang, source; a null lang or source is a group of its own. Texts that fail
     the base rules (under 50 words, or over half of the words in repeated windows) are rejected
-    and not estimated from. Groups of fewer than LEAST_GROUP others keep all of them, with a null
-    distance. Repeated rows count once each. Extra columns are not read.
+    and not estimated from. Groups of fewer than LEAST_GROUP others are judged by the estimate of
+    their language, or of the whole table where the language has fewer too; a table of fewer has
+    none, and null distances. Repeated rows count once each. Extra columns are not read.
     """
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("g_lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("g_source"), F.col("lang").isNull().alias("g_no_lang"), F.col("source").isNull().alias("g_no_source"))
     counted = with_counts(src).drop("text")
@@ -163,7 +180,7 @@ def judge(docs: DataFrame) -> DataFrame:
     table = written(counted.select(*counted.columns, *(c.alias(x) for x, c in zip(VECTOR, transformed(), strict=True))), "counts")
     keys = ["g_lang", "g_source", "g_no_lang", "g_no_source"]
     points = table.where("not base_failed").select(*keys, *VECTOR)
-    out = _with_distance(table, mcd(points, keys), keys)
+    out = _with_distance(table, _estimates(points, keys, ["g_lang", "g_no_lang"]), keys)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.sqrt("d2").alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= CHI_CUT, F.lit(True))).alias("kept"))
 
 

@@ -344,6 +344,15 @@ def test_concentration_steps_against_numpy(spark):
     assert h.shape == (1, 5)
 
 
+def test_small_groups_are_judged(spark):
+    rng = random.Random(6)
+    prose = lambda: [rng.choice("abcdef") * rng.randint(2, 8) + str(rng.randrange(10**6)) for _ in range(rng.randint(90, 110))]
+    rows = [(i, " ".join(prose()), *g) for i, g in enumerate([("en", "big")] * 80 + [("en", "few")] * 9 + [("xx", "few")] * 9)]
+    rows += [(900 + i, " ".join(f"{w}#$%&*" for w in prose()), lang, "few") for i, lang in enumerate(("en", "xx"))]
+    got = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == 100 and {r.doc_id for r in got if not r.kept} == {900, 901} and all(r.distance is not None for r in got)
+
+
 def test_clean_documents_stay(spark):
     d = "/root/testdata/sf0.01"
     got = outliers.op6_robust_outliers(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").collect()
