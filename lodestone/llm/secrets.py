@@ -51,16 +51,18 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32),
 )
+#: What follows a key's first line: all up to its last line, or if that is missing the header and base64 lines (line ends may be escaped or blanks).
+_KEY_BODY = r"""(?:(?:(?!-----(?:BEGIN|END)\x20)[\s\S])*+-----END\x20\1PRIVATE\x20KEY\2-----|(?:(?:\s|\\[rn])*+(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\r\n]*+|[A-Za-z0-9+/=]{24,}+|[A-Za-z0-9+/=]++(?=[\x20\t]*(?:[\r\n]|\\[rn]|\Z))))*+)"""
 #: Formats that issuers publish.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
+    Rule("pem", r"-----BEGIN\x20([A-Z0-9\x20]*)PRIVATE\x20KEY((?:\x20BLOCK)?)-----" + _KEY_BODY),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("pay", r"(?:sk|rk)_(?:live|test)_[0-9A-Za-z]{16,250}"),
+    Rule("pay", r"(?:sk|rk)_(?:live|test)_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{20,}=*", 0, 0, re.A | re.I),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{3,100}@"),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{3,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
