@@ -80,7 +80,7 @@ def _marks(attrs: str) -> tuple[str, ...]:
             out.append("hidden")
         elif name in ("class", "id", "role"):
             out += [w.rstrip("s") for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()) if len(w) > 1]
-    return tuple(dict.fromkeys(out[:12]))
+    return tuple(dict.fromkeys(out))
 
 
 @dataclass

@@ -83,6 +83,12 @@ def test_extraction_of_a_page():
     assert html_crf.main_text(page, html_crf.default_field()) == "A <b> head—line\n\nFirst para graph & more words in it.\n\nSecond one, a bit longer than that.\n\nThird text, the last of the article."
 
 
+def test_marks_after_many_class_words():
+    utility = " ".join(f"utility-{w}" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"))
+    page = f'<div class="{utility} sidebar" hidden>Some words here.</div>'
+    assert {"mark=sidebar", "mark=hidden", "mark=twelve", "away"} <= html_crf.leaf_blocks(page)[0].context.features
+
+
 def test_extraction_of_the_table(spark):
     import html
 
