@@ -65,7 +65,7 @@ class Context:
             marks = _marks(attrs)
             inline = tag in INLINE
             own = () if inline and not marks else (f"in={tag}", *(f"mark={m}" for m in marks), *("away" for m in marks if m in _AWAY))
-            found = Context(tag, marks, self.features.union(own), inline)
+            found = Context(tag, marks, self.features if self.features.issuperset(own) else self.features.union(own), inline)
             if len(self.below) < 4096:  # odd attributes are not kept for ever
                 self.below[tag, attrs] = found
         return found
@@ -103,6 +103,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     if len(_ROOT.below) > 512:
         _ROOT = Context("", (), frozenset(), False)
     stack = [_ROOT]
+    opened: dict[str, int] = {}  # how many elements of a tag are open: the stack is searched only for those that are
     blocks: list[Block] = []
     buffer: list[str] = []
     linked, in_link = 0, 0
@@ -121,6 +122,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     def pop_to(depth: int) -> None:
         nonlocal in_link
         for c in stack[depth:]:
+            opened[c.tag] -= 1
             if c.tag == "a":
                 in_link -= 1
         del stack[depth:]
@@ -155,7 +157,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             buffer.append(" ")
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if opened.get(tag) else 0
             if tag not in INLINE:
                 flush()
             if depth:
@@ -172,22 +174,22 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if tag in ENDS_P or tag == "p":
+            if (tag in ENDS_P or tag == "p") and opened.get("p"):
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("p", "button", "td", "th", "table")), 0)
                 if depth and stack[depth].tag == "p":
                     pop_to(depth)
             if tag in CLOSES and tag != "p":
                 names, stops = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1 if any(map(opened.get, names)) else 0, 0, -1):
                     if stack[i].tag in stops:
                         break
                     if stack[i].tag in names:
                         pop_to(i)
                         break
         if tag not in VOID and not (attrs.endswith("/") and tag not in INLINE and tag not in ENDS_P and tag != "p"):
-            if len(stack) < 256:
-                stack.append(stack[-1].child(tag, attrs))
-                in_link += tag == "a"
+            stack.append(stack[-1].child(tag, attrs))
+            opened[tag] = opened.get(tag, 0) + 1
+            in_link += tag == "a"
     flush()
     return blocks
 

@@ -89,6 +89,13 @@ def test_marks_after_many_class_words():
     assert {"mark=sidebar", "mark=hidden", "mark=twelve", "away"} <= html_crf.leaf_blocks(page)[0].context.features
 
 
+def test_elements_at_any_depth_count():
+    page = "<section class='content'>" + "<div>" * 5000 + "<section class='comments'><p>A reply.</p></section><p>Text.</p>" + "</div>" * 5000 + "<p>End.</p></section>"
+    reply, text, end = (b.context.features for b in html_crf.leaf_blocks(page))
+    assert "mark=comment" in reply and "mark=comment" not in text
+    assert "mark=content" in text and "mark=content" in end and "in=div" not in end
+
+
 def test_extraction_of_the_table(spark):
     import html
 
