@@ -203,7 +203,7 @@ def text_features(block: Block) -> list[str]:
     out = ["bias", f"tag={block.tag}", f"words={size}", f"links={share}"]
     if text[-1] in ".!?\"'»”…":
         out.append("ends")
-    low = text[:200].lower()
+    low = text.lower()
     if "©" in low or "copyright" in low or "all rights reserved" in low:
         out.append("rights")
     if n <= 3:

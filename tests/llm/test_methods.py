@@ -96,6 +96,11 @@ def test_elements_at_any_depth_count():
     assert "mark=content" in text and "mark=content" in end and "in=div" not in end
 
 
+def test_rights_are_found_in_the_whole_block():
+    (block,) = html_crf.leaf_blocks("<div>" + "boilerplate " * 100 + "All rights reserved.</div>")
+    assert "rights" in html_crf.text_features(block)
+
+
 def test_extraction_of_the_table(spark):
     import html
 
