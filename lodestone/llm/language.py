@@ -4,8 +4,8 @@ Script ranges narrow the candidates of each word; character-trigram models score
 each candidate; Viterbi over the words of a text, with a penalty for each switch, labels
 spans. The text's prediction is the language that holds most of its letters.
 
-The models are trigram log-probabilities, learned from a bounded uniform sample of labelled
-rows (``TRAIN_ROWS``). Prediction is a map over whole texts: nothing is shuffled.
+The models are trigram log-probabilities, learned from a bounded sample of each language's
+labelled rows (``TRAIN_ROWS``). Prediction is a map over whole texts: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import sub_blocks, text_bytes
-from lodestone.llm.shared import bounded_ids, fold, with_fields
+from lodestone.llm.blocks import BLOCK_BYTES, sub_blocks, text_bytes
+from lodestone.llm.shared import fold, with_fields
 
-TRAIN_ROWS = 6000
+#: Labelled rows of each language that a model learns from, at most.
+TRAIN_ROWS = 1500
+#: Languages that a table may hold.
+MOST_LANGUAGES = 1000
 BUCKETS = 1 << 16
 SWITCH = 12.0
 #: A word's evidence against a language counts no further than this.
@@ -29,7 +32,8 @@ FLOOR = -20.0
 #: A script is a language's own from this share of its letters on.
 SCRIPT_SHARE = 0.02
 UNKNOWN = "und"
-BLOCK = 12 << 20
+#: Bytes of texts whose words are decoded together, for up to four languages (for more, so many times fewer); scores are made in smaller blocks (``BLOCK_BYTES``).
+DECODE_BYTES = 6 << 20
 
 #: Scripts by Unicode block, as ranges of code points: fixed values.
 SCRIPTS = (
@@ -72,6 +76,18 @@ class Words:
     first: np.ndarray  # where each word's trigrams begin
 
 
+@dataclass
+class Scored:
+    """Words of several blocks with their scores; what is larger than a word is gone."""
+
+    start: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    script: np.ndarray
+    letters: np.ndarray
+    emissions: np.ndarray
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     low = _NORMAL[data]
     low[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F) & (data[1:] != 0x97)] += 0x20
@@ -120,6 +136,19 @@ class LanguageModel:
         return out
 
 
+def scored_words(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) -> Scored:
+    """Words and emissions of all texts, made block by block, so that memory follows the words and not the bytes."""
+    parts = []
+    for at, _, d, o in sub_blocks(data, offsets, BLOCK_BYTES * 4 // max(4, len(model.names))):
+        w = words_of(d, o)
+        shift = offsets[at]
+        parts.append((w.start + shift, w.end + shift, w.doc + at, w.script, w.letters.astype(np.int32), model.emissions(w)))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Scored(none, none, none, none, none, np.zeros((0, len(model.names)), np.float32))
+    return Scored(*map(np.concatenate, zip(*parts, strict=True)))
+
+
 def viterbi(emissions: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best label of every row; counts: rows of each text, one after another.
 
@@ -176,28 +205,47 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in j], pa.string()), pa.array(g.astype(np.int32)), pa.array(total[j, g])], names=["lang", "gram", "n"])
 
 
+def _sample(known: DataFrame, counts: list, rows: int) -> DataFrame:
+    """lang, text of at most `rows` rows of each language, drawn by a hash of id and text; repeated rows count once."""
+    share = known.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.2 * rows / r["n"])) for r in counts], "lang string, share double")
+    h = F.xxhash64(F.lit(3), "doc_id", "text")
+    some = known.withColumn("h", h).join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))  # one row a language, MOST_LANGUAGES at most
+    one = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    return one.withColumn("nr", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nr") <= rows).select("lang", "text")
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
-    """A model of every lang in docs, from at most `rows` of its rows; docs: doc_id, text, lang."""
+    """A model of every lang in docs, from at most `rows` rows of each; docs: doc_id, text, lang.
+
+    Rows whose text or lang is null teach nothing. A table without labelled rows gives a model
+    without languages; one of more than MOST_LANGUAGES distinct values is an error. Of two
+    languages with as many rows, the first by name counts as the more frequent.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sample = bounded_ids(known, rows, 3).select("lang", "text")
-    # at most languages x (buckets + scripts) sums
-    got = sample.mapInArrow(_gram_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang = got.column("lang").to_pylist()
-    names = sorted(set(lang))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names = [r["lang"] for r in counts]
     number = {x: i for i, x in enumerate(names)}
     total = np.zeros((BUCKETS + OTHER + 1, max(1, len(names))), np.float64)
-    total[got.column("gram").to_numpy(), [number[x] for x in lang]] = got.column("n").to_numpy()
+    if names:  # at most languages x (buckets + scripts) sums
+        got = _sample(known, counts, rows).mapInArrow(_gram_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        total[got.column("gram").to_numpy(), [number[x] for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
     grams, scripts = total[:BUCKETS] + 0.5, total[BUCKETS:]
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
-    return LanguageModel(names, np.log(grams / grams.sum(axis=0)).astype(np.float32), share >= SCRIPT_SHARE, int(scripts.sum(axis=0).argmax()))
+    usual = int(np.argmax([r["n"] for r in counts])) if names else 0
+    return LanguageModel(names, np.log(grams / grams.sum(axis=0)).astype(np.float32), share >= SCRIPT_SHARE, usual)
 
 
 def identify(docs: DataFrame, model: LanguageModel, spans: bool = False) -> DataFrame:
     """docs with lang_pred, lang_score and, if asked, lang_spans (lang, start, end in code points).
 
-    `und` with score 0 where the text is null or has no letter. lang_score is the share of the
-    text's letters that the predicted language holds. Texts in scripts of no learned language get
-    the most frequent one. Columns of these names in the input are replaced, all others stay.
+    `und` with score 0 where the text is null, empty or has no letter, and everywhere under a model
+    without languages. lang_score is the share of the text's letters that the predicted language
+    holds; of equal holders the first by name is predicted. Texts in scripts of no learned language
+    get the most frequent one, with score 0. Texts are read whole whatever their length; repeated
+    rows get the same answer each, an empty table gives none. Columns of these names in the input
+    are replaced, all others stay.
     """
     added = ["lang_pred", "lang_score"] + ["lang_spans"] * spans
     keep = [c for c in docs.columns if c not in added]
@@ -212,17 +260,17 @@ def identify(docs: DataFrame, model: LanguageModel, spans: bool = False) -> Data
             pred: list[str] = []
             score: list[float] = []
             found: list[list[dict]] = []
-            for _, _, d, o in sub_blocks(data, offsets, BLOCK):
+            for _, _, d, o in sub_blocks(data, offsets, DECODE_BYTES * 4 // max(4, len(m.names))):
                 n = len(o) - 1
-                w = words_of(d, o)
+                w = scored_words(d, o, m)
                 counts = np.bincount(w.doc, minlength=n)
-                label = viterbi(m.emissions(w), counts) if m.names else np.zeros(len(w.doc), np.uint8)
+                label = viterbi(w.emissions, counts) if m.names else np.zeros(len(w.doc), np.uint8)
                 mass = np.bincount(w.doc * k + label, weights=w.letters, minlength=n * k).reshape(n, k)
                 silent = np.bincount(w.doc, weights=m.scripts[w.script].any(axis=1), minlength=n) == 0 if m.names else np.ones(n, bool)
                 best = np.where(silent, m.usual, mass.argmax(axis=1))
                 share = np.where(silent, 0.0, mass[np.arange(n), best] / np.maximum(mass.sum(axis=1), 1))
-                ascii_letters = np.concatenate(([0], np.cumsum((d | 32) - 97 < 26)))
-                no_ascii = ascii_letters[o[1:]] == ascii_letters[o[:-1]]
+                letter_at = np.flatnonzero((d | 32) - 97 < 26)
+                no_ascii = np.searchsorted(letter_at, o[1:]) == np.searchsorted(letter_at, o[:-1])
                 for i in range(n):
                     und = not m.names or (no_ascii[i] and not any(map(str.isalpha, d[o[i] : o[i + 1]].tobytes().decode("utf-8", "replace"))))
                     pred.append(UNKNOWN if und else m.names[best[i]])
@@ -237,7 +285,7 @@ def identify(docs: DataFrame, model: LanguageModel, spans: bool = False) -> Data
     return src.mapInArrow(run, schema)
 
 
-def _spans(d: np.ndarray, o: np.ndarray, w: Words, label: np.ndarray, names: list[str]) -> list[list[dict]]:
+def _spans(d: np.ndarray, o: np.ndarray, w: Scored, label: np.ndarray, names: list[str]) -> list[list[dict]]:
     """Runs of words with one label, for each document."""
     out: list[list[dict]] = [[] for _ in range(len(o) - 1)]
     if not len(label) or not names:
