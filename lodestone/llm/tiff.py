@@ -20,6 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes that a compressed byte can stand for at most.
+EXPANDS = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
+#: Bytes of samples of a page that is read; a larger one gives an error.
+MOST_PAGE = 1 << 30
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 
 # Tags of TIFF 6.0: fixed values.
@@ -80,43 +84,39 @@ def packbits_decode(data: bytes, limit: int) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """Most significant bit first; the code width grows one entry early, as TIFF writers do."""
-    out, acc, bits = bytearray(), 0, 0
-    table: dict[bytes, int] = {}
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, bits
-        acc, bits = acc << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    width, nxt = 9, 258
-    put(256, width)
-    w = b""
-    for i in range(len(data)):
-        wc = w + data[i : i + 1]
-        if len(wc) == 1 or wc in table:
-            w = wc
+    codes, widths = [256], [9]
+    table: dict[int, int] = {}  # (code of a prefix, next byte) -> code
+    width, nxt, code = 9, 258, -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        key = code << 8 | byte
+        found = table.get(key)
+        if found is not None:
+            code = found
             continue
-        put(table[w] if len(w) > 1 else w[0], width)
-        table[wc] = nxt
+        codes.append(code)
+        widths.append(width)
+        table[key] = nxt
         nxt += 1
         if nxt == 4095:
-            put(256, width)
+            codes.append(256)
+            widths.append(width)
             table, width, nxt = {}, 9, 258
         elif nxt > (1 << width) - 1:
             width += 1
-        w = data[i : i + 1]
-    if w:
-        put(table[w] if len(w) > 1 else w[0], width)
+        code = byte
+    if code >= 0:
+        codes.append(code)
+        widths.append(width)
         nxt += 1
         if nxt > (1 << width) - 1 and width < 12:
             width += 1
-    put(257, width)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+    codes.append(257)
+    widths.append(width)
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - np.array(widths)[:, None]]).tobytes()
 
 
 def lzw_decode(data: bytes, limit: int) -> bytes:
@@ -198,38 +198,50 @@ class Page:
     pixels: np.ndarray = field(repr=False)
 
 
-def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 1024, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
-    """pages: arrays of uint8 or uint16, (height, width) or (height, width, samples); one directory each."""
+@dataclass(frozen=True)
+class Layout:
+    """How a page is stored. tile: rows and columns of a tile; without it the page is cut into strips."""
+
+    compression: int = DEFLATE
+    predictor: int = 1
+    rows_per_strip: int = 1024
+    tile: tuple[int, int] | None = None
+
+
+def _parts(px: np.ndarray, layout: Layout) -> list[np.ndarray]:
+    h, w, s = px.shape
+    if not layout.tile:
+        return [px[y : y + layout.rows_per_strip] for y in range(0, h, layout.rows_per_strip)]
+    th, tw = layout.tile
+    grid = np.zeros((-(-h // th) * th, -(-w // tw) * tw, s), px.dtype)
+    grid[:h, :w] = px
+    return [grid[y : y + th, x : x + tw] for y in range(0, h, th) for x in range(0, w, tw)]
+
+
+def encode(pages: list[np.ndarray], layouts: Layout | list[Layout] = Layout(), order: str = "<") -> bytes:
+    """pages: arrays of uint8 or uint16, (height, width) or (height, width, samples); one directory each. layouts: one for all, or one a page."""
     out = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 0))
     link = 4
-    for page in pages:
+    for page, layout in zip(pages, [layouts] * len(pages) if isinstance(layouts, Layout) else layouts, strict=True):
         px = page if page.ndim == 3 else page[:, :, None]
         h, w, s = px.shape
-        size = px.dtype.itemsize
-        parts = []
-        if tile:
-            th, tw = tile
-            grid = np.zeros((-(-h // th) * th, -(-w // tw) * tw, s), px.dtype)
-            grid[:h, :w] = px
-            parts = [grid[y : y + th, x : x + tw] for y in range(0, h, th) for x in range(0, w, tw)]
-        else:
-            parts = [px[y : y + rows_per_strip] for y in range(0, h, rows_per_strip)]
+        size, tile = px.dtype.itemsize, layout.tile
         offsets, counts = [], []
-        for part in parts:
-            if predictor == 2:
+        for part in _parts(px, layout):
+            if layout.predictor == 2:
                 d = part.copy()
                 d[:, 1:] -= part[:, :-1]
                 part = d
-            blob = _compress(part.astype(part.dtype.newbyteorder(order)).tobytes(), compression)
+            blob = _compress(part.astype(part.dtype.newbyteorder(order)).tobytes(), layout.compression)
             offsets.append(len(out))
             counts.append(len(blob))
             out += blob
         if len(out) % 2:
             out.append(0)
         tags: dict[int, tuple[int, list[int]]] = {
-            WIDTH: (4, [w]), LENGTH: (4, [h]), BITS: (3, [8 * size] * s), COMPRESSION: (3, [compression]), PHOTOMETRIC: (3, [2 if s == 3 else 1]), SAMPLES: (3, [s]), PLANAR: (3, [1]), PREDICTOR: (3, [predictor]),
+            WIDTH: (4, [w]), LENGTH: (4, [h]), BITS: (3, [8 * size] * s), COMPRESSION: (3, [layout.compression]), PHOTOMETRIC: (3, [2 if s == 3 else 1]), SAMPLES: (3, [s]), PLANAR: (3, [1]), PREDICTOR: (3, [layout.predictor]),
         }
-        tags |= {TILE_WIDTH: (4, [tile[1]]), TILE_LENGTH: (4, [tile[0]]), TILE_OFFSETS: (4, offsets), TILE_COUNTS: (4, counts)} if tile else {STRIP_OFFSETS: (4, offsets), ROWS_PER_STRIP: (4, [rows_per_strip]), STRIP_COUNTS: (4, counts)}
+        tags |= {TILE_WIDTH: (4, [tile[1]]), TILE_LENGTH: (4, [tile[0]]), TILE_OFFSETS: (4, offsets), TILE_COUNTS: (4, counts)} if tile else {STRIP_OFFSETS: (4, offsets), ROWS_PER_STRIP: (4, [layout.rows_per_strip]), STRIP_COUNTS: (4, counts)}
         entries = []
         for tag, (kind, values) in sorted(tags.items()):
             raw = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
@@ -278,6 +290,8 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str, number: int) -> P
     across, down = -(-w // cw) if cw else 0, -(-h // ch) if ch else 0
     if not offsets or not counts or not across or not down or len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise TiffError("strips or tiles are missing")
+    if h * w * s * kind.itemsize > min(MOST_PAGE, EXPANDS.get(how, 1) * sum(counts[: len(offsets)])):
+        raise TiffError("a page is larger than its strips or tiles can hold, or than is read")
     px = np.zeros((h, w, s), kind.newbyteorder("="))
     for i in range(across * down * planes):
         plane, rest = divmod(i, across * down)
@@ -318,8 +332,9 @@ PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compressi
 def tiff_pages(df: DataFrame, key: str, media: str) -> DataFrame:
     """One row per page of each TIFF in the binary column `media`: key, PAGE_SCHEMA.
 
-    Bytes that are null, empty or no readable TIFF give one row with only `error` set. Pixels are
-    little-endian, row by row. Rows are independent; nothing is shuffled.
+    Bytes that are null, empty or no readable TIFF give one row with only `error` set, so do files
+    with a page of over MOST_PAGE bytes. Pixels are little-endian, row by row. Rows are independent
+    (repeated ones give their pages again); nothing is shuffled; an empty table gives no rows.
     """
     src = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{media}`").cast("binary").alias("media"))
     schema = f"key {src.schema['key'].dataType.simpleString()}, {PAGE_SCHEMA}"
@@ -344,28 +359,23 @@ def tiff_pages(df: DataFrame, key: str, media: str) -> DataFrame:
 # ---------------------------------------------------------------- texts as stored media
 
 ROW = 64
+#: A text's rows are cut into as many equal pages, stored so: every decoder meets its share of the input, whatever the length.
+LAYOUTS = (Layout(LZW, 1, 128), Layout(PACKBITS, 1, 128), Layout(DEFLATE, 2, 1024), Layout(DEFLATE, 1, 1024, (16, 32)))
 
 
 def stored(payload: bytes) -> bytes:
-    """The payload as one grey page, 64 samples a row. The layout follows the length alone.
-
-    Short ones exercise the codecs written in Python (LZW, PackBits, tiles); long ones take
-    deflate with horizontal differencing in strips of 64 KiB.
-    """
+    """The payload as grey pages, 64 samples a row: rows in order, cut into pages as LAYOUTS says; a text of fewer rows has a page for each."""
     px = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    if len(payload) <= 256:
-        return encode([px], LZW, 1, rows_per_strip=8)
-    if len(payload) <= 512:
-        return encode([px], PACKBITS, 1, rows_per_strip=8)
-    if len(payload) <= 1024:
-        return encode([px], DEFLATE, 2, tile=(16, 32))
-    return encode([px], DEFLATE, 2, rows_per_strip=1024)
+    parts = [x for x in np.array_split(px, len(LAYOUTS)) if len(x)]
+    return encode(parts, list(LAYOUTS[: len(parts)]))
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
     """The contract's row per document: text stored as TIFF, read back, features of the samples.
 
-    A null text counts as empty; it and an empty text give 64 zero samples. Equal texts give equal values.
+    A null text counts as empty; it and an empty text give 64 zero samples. Equal texts, and so
+    repeated rows, give equal values. Texts are stored whole whatever their length; an empty table
+    gives no rows; other columns are not read.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -376,12 +386,12 @@ def media_digest(docs: DataFrame) -> DataFrame:
                 text = value.as_py() or b""
                 payload = text + bytes(-len(text) % ROW if text else ROW)
                 media = stored(payload)
-                page = decode(media)[0]
-                back = page.pixels.tobytes()
-                n = np.bincount(page.pixels.ravel(), minlength=256)
+                pages = decode(media)
+                back = b"".join(page.pixels.tobytes() for page in pages)
+                n = np.bincount(np.frombuffer(back, np.uint8), minlength=256)
                 p = n[n > 0] / len(back)
                 low = np.arange(256) @ n
-                feature = f"{page.width}x{page.height};{NAMES[page.compression]};sum={low};max={int(np.flatnonzero(n)[-1])};distinct={len(p)};entropy={abs(float(-(p * np.log2(p)).sum())):.6f}"
+                feature = f"{pages[0].width}x{sum(page.height for page in pages)};pages={len(pages)};sum={low};max={int(np.flatnonzero(n)[-1])};distinct={len(p)};entropy={abs(float(-(p * np.log2(p)).sum())):.6f}"
                 for c, v in zip(cols, (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
