@@ -76,7 +76,18 @@ def test_near_duplicates(odd, none):
     assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, None: None}
     kept = bagminhash.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == 8
-    assert bagminhash.near_duplicates(none).count() == 0
+    assert bagminhash.near_duplicates(none).count() == 0 and bagminhash.keep_one(none).count() == 0
+
+
+def test_near_duplicates_of_repeated_ids_and_clashing_columns(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b + " fifteen"), (4, b), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("kept_id", "node", "id", "row", "class")})
+    got = sorted((r.doc_id, r.class_id) for r in bagminhash.near_duplicates(docs).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 1), (5, 5), (5, 5)]
+    kept = bagminhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, b), (1, a), (3, b + " fifteen"), (5, ""), (5, "")]
 
 
 def test_outliers(odd, none):
@@ -96,9 +107,11 @@ def test_scoring(odd, none):
 def test_mixing(spark, odd, none):
     got = mixing.mix(odd, labels(spark)).collect()
     assert len(got) == 9 and all(r.rate >= 0 and abs(r.p_good + r.p_low + r.p_toxic - 1) < 1e-9 for r in got)
-    out = mixing.apply_rates(odd, spark.createDataFrame([(4, 2.0), (6, 0.0)], "doc_id long, rate double"))
+    assert all(r.rate == 1 for r in mixing.mix(odd, labels(spark).where("false")).collect())
+    taken = odd.withColumns({c: F.lit(1) for c in ("__id", "__rate", "__copy", "__copies", "rate", "copies", "row")})
+    out = mixing.apply_rates(taken, spark.createDataFrame([(4, 2.0), (6, 0.0)], "doc_id long, rate double"))
     ids = [r.doc_id for r in out.collect()]
-    assert ids.count(4) == 4 and ids.count(6) == 0 and ids.count(1) == 1 and ids.count(None) == 1 and out.columns == odd.columns
+    assert ids.count(4) == 4 and ids.count(6) == 0 and ids.count(1) == 1 and ids.count(None) == 1 and out.columns == taken.columns
     assert mixing.mix(none, labels(spark)).count() == 0
 
 
