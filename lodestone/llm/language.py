@@ -142,7 +142,7 @@ def scored_words(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) ->
     for at, _, d, o in sub_blocks(data, offsets, BLOCK_BYTES * 4 // max(4, len(model.names))):
         w = words_of(d, o)
         shift = offsets[at]
-        parts.append((w.start + shift, w.end + shift, w.doc + at, w.script, w.letters.astype(np.int32), model.emissions(w)))
+        parts.append((w.start + shift, w.end + shift, w.doc + at, w.script, w.letters.astype(np.int32), model.emissions(w) if model.names else np.zeros((len(w.start), 0), np.float32)))
     if not parts:
         none = np.zeros(0, np.int64)
         return Scored(none, none, none, none, none, np.zeros((0, len(model.names)), np.float32))
