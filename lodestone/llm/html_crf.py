@@ -64,7 +64,7 @@ class Context:
         if found is None:
             marks = _marks(attrs)
             inline = tag in INLINE
-            own = () if inline and not marks else (f"in={tag}", *(f"mark={m}" for m in marks), *("away" for m in marks if m in _AWAY))
+            own = () if inline and not marks else (f"in={tag}", *(f"mark={m}" for m in marks))
             found = Context(tag, marks, self.features if self.features.issuperset(own) else self.features.union(own), inline)
             if len(self.below) < 4096:  # odd attributes are not kept for ever
                 self.below[tag, attrs] = found
@@ -329,8 +329,6 @@ _SIDE = {
 }
 _MAIN = ("<article{a}>{body}</article>", "<main{a}>{body}</main>", "<main><article{a}>{body}</article></main>", "<div{a}>{body}</div>", "<section{a}>{body}</section>", "<div id=\"page\"><div{a}>{body}</div></div>")
 _MAIN_MARKS = ("content", "article", "post", "entry", "story", "article-body", "post-content", "main", "text", "entry-content", "")
-#: Words of the marks above that name no main text by themselves: one shared feature.
-_AWAY = frozenset(w.rstrip("s") for _, marks in _SIDE.values() for m in marks for w in m.split("-")) - frozenset("main page site user more list right top body author".split()) - {""}
 _SAID = "\x02"  # marks main text within a page while it is drawn
 
 
@@ -437,8 +435,10 @@ def main_text(page: str | None, model: Field) -> str:
 def extract(pages: DataFrame, model: Field | None = None, source: str = "html", blocks: bool = False) -> DataFrame:
     """pages with `main_text` and, if asked, `blocks` (text, tag, main) of the whole html.
 
-    Null and empty html give an empty text and no blocks. Columns of these two names in the input
-    are replaced, all others stay. Rows are independent; nothing is shuffled.
+    Null and empty html give an empty text and no blocks; html is read whole whatever its length
+    and depth. Labellings of equal score go to boilerplate. Repeated rows get the same answer each,
+    an empty table gives none. Columns of these two names in the input are replaced, all others
+    stay. Rows are independent; nothing is shuffled.
     """
     added = ["main_text"] + ["blocks"] * blocks
     src = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in added))
