@@ -196,8 +196,10 @@ def pack(lengths: np.ndarray, capacity: int = SEQUENCE) -> list[tuple[int, int,
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost[, ids].
 
-    A null text counts as empty: one piece, the end id. Repeated rows are packed once each. Other
-    columns of docs are not read. sequence_id is unique over the table: task, batch, number.
+    A null text counts as empty: one piece, the end id. Very long texts are cut into as many
+    sequences as they fill. Repeated rows are packed once each, an empty table gives no rows. Ties
+    of cost: see ``pack``. Other columns of docs are not read. sequence_id is unique over the table:
+    task, group, number.
     """
     path = tokenizer or default_tokenizer()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

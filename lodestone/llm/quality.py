@@ -196,7 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 
 def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """doc_id, score. Null and empty texts are scored by their statistics like any other."""
+    """doc_id, score of every row of docs: doc_id, text and, if there is one, n_chars.
+
+    Null and empty texts are scored by their statistics like any other, very long ones whole.
+    Repeated rows get the same score each, an empty table gives no rows. Other columns are not read.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

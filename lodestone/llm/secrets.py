@@ -62,7 +62,7 @@ MORE_RULES = (
     Rule("pay", r"(?:sk|rk)_(?:live|test)_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{20,}=*", 0, 0, re.A | re.I),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{3,}@"),
+    Rule("url", r"(?<![a-z])[a-z][a-z0-9+.-]++://[^\s:/@]+:[^\s:/@]{3,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -265,8 +265,10 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str | None = None) -> DataFrame:
     """docs with `secret_spans` (kind, start, end by start, then rule order) and, with mark, `redacted`.
 
-    Null and empty texts have no spans; a null text stays null when redacted. Repeated rows get
-    the same answer each. Columns of these two names in the input are replaced; all others stay.
+    Null and empty texts have no spans; a null text stays null when redacted. Texts are scanned
+    whole whatever their length. Spans that begin together come in rule order; spans of different
+    rules may overlap. Repeated rows get the same answer each, an empty table gives none. Columns
+    of these two names in the input are replaced; all others stay.
     """
     added = ["secret_spans"] + (["redacted"] if mark is not None else [])
     keep = [c for c in docs.columns if c not in added]
