@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import LOWER, hash_words, mix, sub_blocks, text_bytes, word_spans
+from lodestone.llm.blocks import LOWER, hash_words, mix, sub_blocks, text_bytes, trim, word_spans
 from lodestone.llm.shared import written
 
 WORDS = 5
@@ -149,6 +149,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.concatenate(([0], np.cumsum((weight > 0) * BANDS))).astype(np.int32)
             part = batch.slice(at, to - at)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), pa.array(weight), pa.ListArray.from_arrays(pa.array(cut), pa.array(b.ravel()))], names=["id", "node", "weight", "bands"])
+        trim()
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

@@ -6,6 +6,7 @@ takes it past ``BLOCK_BYTES``, so memory follows the longest document, not the b
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,6 +108,14 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: workers live on, and others need it meanwhile. Does nothing where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of every run, one run after another."""
     lengths = np.asarray(lengths, np.int64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import BLOCK_BYTES, sub_blocks, text_bytes
+from lodestone.llm.blocks import BLOCK_BYTES, sub_blocks, text_bytes, trim
 from lodestone.llm.shared import fold, with_fields
 
 #: Labelled rows of each language that a model learns from, at most.
@@ -33,7 +33,7 @@ FLOOR = -20.0
 SCRIPT_SHARE = 0.02
 UNKNOWN = "und"
 #: Bytes of texts whose words are decoded together, for up to four languages (for more, so many times fewer); scores are made in smaller blocks (``BLOCK_BYTES``).
-DECODE_BYTES = 6 << 20
+DECODE_BYTES = 3 << 20
 
 #: Scripts by Unicode block, as ranges of code points: fixed values.
 SCRIPTS = (
@@ -281,6 +281,7 @@ def identify(docs: DataFrame, model: LanguageModel, spans: bool = False) -> Data
             if spans:
                 cols.append(pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *added])
+            trim()
 
     return src.mapInArrow(run, schema)
 

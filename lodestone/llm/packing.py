@@ -3,12 +3,12 @@
 The cost of a piece of n tokens is LINEAR*n + QUADRATIC*n**2 (the feed-forward part grows
 with the tokens, attention with their square). Within a packing group, documents longer
 than a sequence are cut into full sequences and a rest; rests go, in descending order of
-cost, to the sequence of least cost that still has room. What fits nowhere whole is cut
-over the largest gaps, so a group of T tokens fills exactly ceil(T / 2048) sequences and
-pads only its last one.
+cost, to the sequence of least cost that has room for them. What fits nowhere whole is cut:
+its first piece fills the sequence of least cost that has any room, and so on. So a group of
+T tokens fills exactly ceil(T / 2048) sequences and pads only its last one.
 
-A packing group is an Arrow batch of a scan task, tokenized and packed where it was read:
-no shuffle, memory bounded by the batch, and a lost executor repeats its own tasks only.
+A packing group is a run of some GROUP_BYTES of text of a scan task, tokenized and packed
+where it was read: no shuffle, bounded memory, and a lost executor repeats its own tasks only.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import LOWER, SEPARATOR, ragged, sub_blocks, text_bytes
+from lodestone.llm.blocks import LOWER, SEPARATOR, ragged, sub_blocks, text_bytes, trim
 
 SEQUENCE = 2048
 END = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Distinct words whose ids a worker keeps at most before it starts anew.
 CACHE_WORDS = 600_000
-#: Bytes tokenized at once.
-TOKEN_BLOCK = 6 << 20
+#: Bytes tokenized at once, and of a packing group, as far as documents allow.
+TOKEN_BLOCK, GROUP_BYTES = 3 << 20, 8 << 20
+#: Odd words that the tokenizer is given at once: its replies are large.
+TOKEN_WORDS = 1 << 13
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -86,8 +88,10 @@ def _encoded(tok, words: list[bytes]) -> Iterator[bytes]:
     model, alphabet = tok.model, _ALPHABET
     odd: dict[bytes, list[int]] = {}
     rest = [w for w in words if not _PLAIN.fullmatch(w)]
-    for w, e in zip(rest, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
-        odd[w] = e.ids
+    for at in range(0, len(rest), TOKEN_WORDS):
+        some = rest[at : at + TOKEN_WORDS]
+        for w, e in zip(some, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+            odd[w] = e.ids
     for w in words:
         ids = odd.get(w)
         if ids is None:
@@ -178,18 +182,15 @@ def pack(lengths: np.ndarray, capacity: int = SEQUENCE) -> list[tuple[int, int,
         out.append((d, int(lengths[d]) - n, n, seq + i, int(limit[i] - room[i])))
         room[i] -= n
         spent[i] += cost(n)
-    gaps = np.argsort(-room, kind="stable").tolist()
-    at = 0
     for d, n in left:
         start = int(lengths[d]) - n
         while n:
-            i = gaps[at]
+            i = int(np.where(room > 0, spent, np.inf).argmin())
             take = min(n, int(room[i]))
             out.append((d, start, take, seq + i, int(limit[i] - room[i])))
             room[i] -= take
+            spent[i] += cost(take)
             start, n = start + take, n - take
-            if not room[i]:
-                at += 1
     return out
 
 
@@ -209,22 +210,22 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, with_ids: bool
         task, base = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            parts = [token_ids(d, o, path) for _, _, d, o in sub_blocks(data, offsets, TOKEN_BLOCK)]
-            if not parts:
-                continue
-            ids, total = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            begin = np.cumsum(total) - total
-            pieces = np.array(pack(total), np.int64).reshape(-1, 5)
-            doc, start, length, seq, offset = pieces.T
-            raw = memoryview(ids.astype("<u4").tobytes())
-            at = begin[doc] + start
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
-            keys = batch.column("doc_id").take(pa.array(doc))
-            cols = [keys, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[doc]), pa.array((task << 40) + base + seq), pa.array(offset), pa.array(cost(length.astype(float)))]
-            if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(ids[ragged(at, length)].astype(np.int32))))
-            base += int(seq.max()) + 1
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            for first, last, group, ends in sub_blocks(data, offsets, GROUP_BYTES):
+                parts = [token_ids(d, o, path) for _, _, d, o in sub_blocks(group, ends, TOKEN_BLOCK)]
+                ids, total = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                begin = np.cumsum(total) - total
+                pieces = np.array(pack(total), np.int64).reshape(-1, 5)
+                doc, start, length, seq, offset = pieces.T
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                at = begin[doc] + start
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                keys = batch.column("doc_id").slice(first, last - first).take(pa.array(doc))
+                cols = [keys, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[doc]), pa.array((task << 40) + base + seq), pa.array(offset), pa.array(cost(length.astype(float)))]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(ids[ragged(at, length)].astype(np.int32))))
+                base += int(seq.max()) + 1
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+            trim()
 
     return src.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double" + ", ids array<int>" * with_ids)
 
