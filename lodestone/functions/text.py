@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,10 +125,13 @@ def html_escape(x: Column) -> Column:
 
 
 def html_unescape(x: Column) -> Column:
-    """The references that markup needs; & last."""
-    for ref, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(ref), F.lit(raw))
-    return x
+    """All character references of HTML decoded, in Arrow batches: no built-in function knows them."""
+
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return decoded(x)
 
 
 def url_quote(x: Column) -> Column:
@@ -170,8 +176,8 @@ def https_variant(url: Column, host: str) -> Column:
 
 def found_urls(page: Column, pattern: str, group: int, most: int) -> Column:
     """Matches of a pattern, decoded and trimmed: distinct http(s) URLs in order, the first `most`."""
-    raw = F.transform(F.regexp_extract_all(page, F.lit(pattern), F.lit(group)), lambda x: F.trim(html_unescape(x)))
-    return F.slice(F.array_distinct(F.filter(raw, lambda x: x.rlike("^https?://"))), 1, most)
+    raw = F.split(html_unescape(F.array_join(F.regexp_extract_all(page, F.lit(pattern), F.lit(group)), "\x01")), "\x01")
+    return F.slice(F.array_distinct(F.filter(F.transform(raw, F.trim), lambda x: x.rlike("^https?://"))), 1, most)
 
 
 def query_variants(title: Column, brand: Column, vendor: str = "home depot") -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +60,35 @@ def build_corpus(descriptions: DataFrame, titles: DataFrame, attributes: DataFra
     return validate(joined.withColumns(norms))
 
 
+class Pipeline(ABC):
+    """What turns source tables into a corpus."""
+
+    @abstractmethod
+    def load(self) -> dict[str, DataFrame]: ...
+
+    @abstractmethod
+    def prepare(self, data: dict[str, DataFrame]) -> DataFrame: ...
+
+    @abstractmethod
+    def validate(self, data: DataFrame) -> DataFrame: ...
+
+
+class CorpusPipeline(Pipeline):
+    """The corpus from whatever a loader returns: descriptions, titles (or train) and attributes."""
+
+    def __init__(self, loader: Callable[[], dict[str, DataFrame]]) -> None:
+        self.loader = loader
+
+    def load(self) -> dict[str, DataFrame]:
+        return self.loader()
+
+    def prepare(self, data: dict[str, DataFrame]) -> DataFrame:
+        return with_tokens(build_corpus(data["descriptions"], data["titles"] if "titles" in data else data["train"], data["attributes"]))
+
+    def validate(self, data: DataFrame) -> DataFrame:
+        return validate(data)
+
+
 def with_tokens(corpus: DataFrame) -> DataFrame:
     """The corpus with its token arrays."""
     names = {"title_tok": "product_title_norm", "desc_tok": "product_description_norm", "attr_tok": "all_attributes_norm", "brand_tok": "brand_norm"}

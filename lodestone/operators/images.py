@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,25 @@ def image_map(state: DataFrame) -> DataFrame:
     return state.where("status = 'downloaded' and local_path is not null and local_path <> ''").select("product_uid", "local_path")
 
 
+def with_images(results: DataFrame, images: DataFrame) -> DataFrame:
+    """results with the local_path of their pictures, null where there is none."""
+    return results.join(images.select("product_uid", "local_path"), "product_uid", "left")
+
+
+def existing_paths(images: DataFrame, folders: list[str]) -> DataFrame:
+    """images whose file exists: an absolute path as it is, a relative one below the first of the folders that has it. Files are asked for where Spark's tasks run."""
+
+    @F.pandas_udf("string")
+    def found(paths: pd.Series) -> pd.Series:
+        def first(path: str) -> str | None:
+            tried = [path] if os.path.isabs(path) else [os.path.join(f, path) for f in folders]
+            return next((p for p in tried if os.path.exists(p)), None)
+
+        return paths.map(first, na_action="ignore")
+
+    return images.withColumn("local_path", found("local_path")).where("local_path is not null")
+
+
 def upsert(state: DataFrame, catalogue: DataFrame, now: Column) -> DataFrame:
     """The next version of the state: new products are pending; known ones get title, brand and time, and keep the rest."""
     new = catalogue.select("product_uid", F.col("product_title").alias("new_title"), F.col("brand").alias("new_brand"), F.lit(True).alias("given"))

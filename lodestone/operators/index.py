@@ -63,13 +63,21 @@ def term_stats(postings: DataFrame, fields: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), "field").select("field", "term", "df", floor.alias("idf"))
 
 
+def term_counts(toks: DataFrame) -> DataFrame:
+    """field, product_uid, term, tf, dl from field_tokens(): counted within the row, by runs of the sorted array, so nothing is shuffled."""
+    ordered = toks.select("field", "product_uid", F.array_sort("toks").alias("t"))
+    first = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get("t", i - 1)), i)), lambda i: i.isNotNull())
+    runs = ordered.withColumn("first", first)
+    counted = F.transform("first", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("t")) - i).cast("long").alias("tf")))
+    return runs.select("field", "product_uid", F.size("t").alias("dl"), F.explode(counted).alias("x")).select("field", "product_uid", "x.term", "x.tf", "dl")
+
+
 def build_index(corpus: DataFrame, fields: tuple[str, ...] = ("word", "gram", "title", "desc", "attr")) -> Index:
-    """Index of a corpus with tokens. Term counts are taken within the row before anything is shuffled: a posting needs no shuffle at all."""
+    """Index of a corpus with tokens. Only term statistics are shuffled, a row for each distinct term of a task."""
     toks = field_tokens(corpus, fields)
     stats = field_stats(toks)
-    # a document's own terms: explode and group within its key, which map-side aggregation settles
-    postings = toks.select("field", "product_uid", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("field", "product_uid", "dl", "term").agg(F.count("*").alias("tf"))
-    return Index(postings.select("field", "product_uid", "term", "tf", "dl"), term_stats(postings, stats), stats)
+    postings = term_counts(toks)
+    return Index(postings, term_stats(postings, stats), stats)
 
 
 # ---------------------------------------------------------------- typo model

@@ -6,10 +6,14 @@ rows, small and joined by term, then one aggregation by (query, product).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import char_ngrams, dot
+from lodestone.functions.text import char_ngrams
 from lodestone.operators.index import K1, B, Index
 from lodestone.operators.spell import expand
 
@@ -52,15 +56,28 @@ def term_score(tf: Column, idf: Column, dl: Column, avgdl: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(terms: DataFrame, index: Index, by: tuple[str, ...] = ("query_id", "variant")) -> DataFrame:
-    """by, product_uid, score of every document that holds a term; terms: query_terms().
+#: Rows of the queries' terms that are broadcast to the postings; beyond, hot terms are salted.
+MOST_TERMS = 200_000
+#: Parts that a term's postings are dealt to where the queries' terms are too many to broadcast.
+SALTS = 16
+
+
+def bm25(terms: DataFrame, index: Index, by: tuple[str, ...] = ("query_id", "variant"), only: DataFrame | None = None) -> DataFrame:
+    """by, product_uid, score of every document that holds a term; terms: query_terms(); only: query_id, product_uid to score, if not all.
 
-    Only postings of the queries' terms are read on: the query side is broadcast if Spark finds it
-    small, else both sides are shuffled by (field, term). idf and field sizes are attached to the
-    query side first, so nothing is joined per posting.
+    Only postings of the queries' terms are read on: the query side is broadcast while it has at
+    most MOST_TERMS rows, else both sides are shuffled by field, term and a hash of the product, so
+    that a stop word's postings go to SALTS tasks. idf and field sizes are attached to the query
+    side first, so nothing is joined per posting. Pairs that are not wanted go before the sums.
     """
     known = terms.join(index.terms, ["field", "term"]).join(index.fields.select("field", "avgdl"), "field")
-    hits = index.postings.join(known, ["field", "term"])
+    if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        hits = index.postings.join(F.broadcast(known), ["field", "term"])
+    else:
+        salted = known.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        hits = index.postings.withColumn("salt", F.pmod(F.xxhash64("product_uid"), F.lit(SALTS)).cast("int")).join(salted, ["field", "term", "salt"]).drop("salt")
+    if only is not None:
+        hits = hits.join(only.select("query_id", "product_uid"), ["query_id", "product_uid"], "left_semi")
     part = F.col("qf") * term_score(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy(*by, "product_uid").agg(F.sum(part).alias("score"))
 
@@ -89,35 +106,71 @@ def top_n(scores: DataFrame, n: int, key: str = "query_id") -> DataFrame:
 def fill(scores: DataFrame, queries: DataFrame, corpus: DataFrame, n: int, negative: bool = False) -> DataFrame:
     """Top n of every query where documents without a hit score 0.
 
-    Each query is given the 2n documents of the largest ids with score 0, which add nothing to a
-    hit: if they are all hits there are n better ones anyway. So the cost is queries x n, not
-    queries x corpus, and scores are read once. negative: scores may fall below 0 (only if an idf
-    does, see ``Index.negative``); then zero documents are laid out in full.
+    Each query is given documents of the largest ids with score 0, which add nothing to a hit: 2n
+    of them, as there are n better ones if they are all hits. Where scores may fall below 0
+    (negative: only if an idf does, see ``Index.negative``) a query of h hits is given n + h, of
+    which n are no hits. So the cost is queries x n, or hits, not queries x corpus.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    ids = corpus.select("product_uid")
-    pool = ids if negative else F.broadcast(ids.orderBy(F.desc("product_uid")).limit(2 * n))  # at most 2n ids
-    zeros = queries.select("query_id").crossJoin(pool).withColumn("score", F.lit(0.0))
-    both = scores.select("query_id", "product_uid", "score").unionByName(zeros)
+    ids, hits = corpus.select("product_uid"), scores.select("query_id", "product_uid", "score")
+    if negative:
+        need = queries.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("h")), "query_id", "left").select("query_id", (F.coalesce("h", F.lit(0)) + n).alias("need"))
+        most = need.agg(F.max("need")).first()[0] or 0
+        numbered = ids.orderBy(F.desc("product_uid")).limit(most).withColumn("nr", F.row_number().over(Window.orderBy(F.desc("product_uid"))).cast("long"))
+        zeros = need.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), "need")).alias("nr")).join(numbered, "nr").select("query_id", "product_uid")
+    else:
+        zeros = queries.select("query_id").crossJoin(F.broadcast(ids.orderBy(F.desc("product_uid")).limit(2 * n)))  # at most 2n ids
+    both = hits.unionByName(zeros.withColumn("score", F.lit(0.0)))
     return top_n(both.groupBy("query_id", "product_uid").agg(F.sum("score").alias("score")), n)
 
 
-#: Query vectors that meet a document vector in one row.
-BLOCK = 256
+#: Rows of a block of vectors, and of a block of query vectors.
+BLOCK, QUERY_BLOCK = 4096, 256
+
+
+def _blocks(df: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
+    """<prefix>_ids, <prefix>_matrix: rows of up to `size` vectors, packed where they are read. Vectors of one length; null ones are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                if len(flat) % part.num_rows:
+                    raise ValueError("vectors differ in length")
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([flat.astype("<f8").tobytes()], pa.binary())], names=[f"{prefix}_ids", f"{prefix}_matrix"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.where("vec is not null").select(key, "vec").mapInArrow(run, f"{prefix}_ids array<{kind}>, {prefix}_matrix binary")
 
 
 def knn(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     """query_id, product_uid, score, rank: exact nearest vectors by dot product.
 
-    queries: query_id, vec, a stated query set; vectors: product_uid, vec. Queries lie in blocks
-    of about BLOCK, each block meets every vector once, and only ids and scores leave that row.
+    queries: query_id, vec, a stated query set; vectors: product_uid, vec. Both are packed into
+    blocks; a block of queries meets a block of vectors in one matrix product, of which only the n
+    best of each query leave. Ties go to the larger product.
     """
-    blocks = max(1, -(-queries.count() // BLOCK))
-    packed = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "vec")).alias("qs"))
-    met = vectors.crossJoin(packed.select("qs"))
-    scored = met.select("product_uid", F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(dot(q["vec"], F.col("vec")), DIGITS).alias("score")))).alias("x"))
-    return top_n(scored.select("x.query_id", "product_uid", "x.score"), n)
+    if n < 1:
+        raise ValueError("n must be at least 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, v = (batch.column(c)[i].values for c in (0, 2))
+                ids = v.to_numpy(zero_copy_only=False)
+                a, b = (np.frombuffer(batch.column(c)[i].as_py(), "<f8").reshape(len(x), -1) for c, x in ((1, q), (3, v)))
+                score = a @ b.T
+                keep = np.lexsort((-ids[None, :].repeat(len(q), 0), -np.round(score, DIGITS)), axis=1)[:, :n]
+                take = pa.array(np.repeat(np.arange(len(q)), keep.shape[1]))
+                yield pa.RecordBatch.from_arrays([q.take(take), v.take(pa.array(keep.ravel())), pa.array(np.take_along_axis(score, keep, 1).ravel())], names=["query_id", "product_uid", "score"])
+
+    met = _blocks(queries, "query_id", QUERY_BLOCK, "q").crossJoin(_blocks(vectors, "product_uid", BLOCK, "v"))
+    kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["product_uid"].dataType.simpleString())
+    best = met.mapInArrow(run, f"query_id {kinds[0]}, product_uid {kinds[1]}, score double")
+    return top_n(best.withColumn("score", F.round("score", DIGITS)), n)
 
 
 def merge(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
@@ -128,5 +181,6 @@ def merge(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
 
 
 def hybrid(q: DataFrame, index: Index, corpus: DataFrame, n: int = 100) -> DataFrame:
-    """query_id, product_uid, score, rank: lexical retrieval of understood queries with `mode`."""
+    """query_id, product_uid, score, rank: lexical retrieval of understood queries with `mode` (see ``mode_of``)."""
+    q = q.withColumn("mode", mode_of(F.col("mode")))
     return fill(fuse(bm25(variant_terms(q), index), q), q, corpus, n, index.negative())

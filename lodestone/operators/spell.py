@@ -94,13 +94,17 @@ def typo_candidates(words: DataFrame, model: TypoModel, most: int = MAX_CANDIDAT
     return measured.join(freq, "cand").select("tok", "cand", "overlap", "dist", shape_score(F.col("tok"), F.col("cand")).alias("shape"), "freq")
 
 
-def _choose(tok: Column, cands: Column, prev: Column) -> Column:
-    """The accepted correction of one token after prev, from its candidates with context counts."""
+def _pair(prev: Column, cand: Column) -> Column:
+    return F.concat(F.coalesce(prev, F.lit("")), F.lit(" "), cand)
+
+
+def _choose(tok: Column, cands: Column, context: Column, prev: Column) -> Column:
+    """The accepted correction of one token after prev, from its candidates; context: counts of the pairs that can occur here."""
     key = F.transform(
         cands,
         lambda c: F.struct(
             c["dist"].alias("dist"),
-            (-F.coalesce(F.try_element_at(c["context"], F.coalesce(prev, F.lit(""))), F.lit(0))).alias("context"),
+            (-F.coalesce(F.try_element_at(context, _pair(prev, c["cand"])), F.lit(0))).alias("context"),
             (-c["shape"]).alias("shape"),
             (-c["overlap"]).alias("overlap"),
             (-c["freq"]).alias("freq"),
@@ -122,23 +126,26 @@ def _choose(tok: Column, cands: Column, prev: Column) -> Column:
 def correct_typos(rows: DataFrame, model: TypoModel, groups=SYNONYMS) -> DataFrame:
     """query_id, toks: rows(query_id, place, tok) corrected in order, each in the context of its corrected predecessor.
 
-    The context-free part runs once per distinct word; only the pairs' counts that a query could
-    need come along; the choice is a fold over the query's tokens. Synonym words stay.
+    The context-free part runs once per distinct word. A place needs the counts of the pairs of its
+    own candidates after its predecessor or one of that one's candidates, and only these pairs meet
+    the table of pairs; the choice is a fold over the query's tokens. Synonym words stay.
     """
     cands = typo_candidates(rows.where(~in_synonyms(F.col("tok"), groups)), model)
-    pairs = model.bigrams.join(cands.select(F.col("cand").alias("token")).distinct(), "token", "left_semi")
-    # predecessors are words of the queries or corrections of such
-    before = rows.select(F.col("tok").alias("prev")).unionByName(cands.select(F.col("cand").alias("prev"))).distinct()
-    context = pairs.join(before, "prev", "left_semi").groupBy(F.col("token").alias("cand")).agg(F.map_from_entries(F.collect_list(F.struct("prev", F.col("freq").cast("long")))).alias("context"))
-    empty = F.create_map().cast("map<string,bigint>")
-    full = cands.join(context, "cand", "left").withColumn("context", F.coalesce("context", empty))
-    offers = full.groupBy("tok").agg(F.collect_list(F.struct("cand", "dist", F.col("shape").cast("long").alias("shape"), "overlap", "freq", "context")).alias("cands"))
-    listed = rows.join(offers, "tok", "left").groupBy("query_id").agg(F.collect_list(F.struct("place", "tok", "cands")).alias("seq"))
+    offers = cands.groupBy("tok").agg(F.collect_list(F.struct("cand", "dist", F.col("shape").cast("long").alias("shape"), "overlap", "freq")).alias("cands"))
+    placed = rows.join(offers, "tok", "left")
+    before = Window.partitionBy("query_id").orderBy("place")
+    after = placed.withColumn("prev", F.concat(F.array(F.lag("tok").over(before)), F.coalesce(F.lag(F.transform("cands", lambda c: c["cand"])).over(before), F.array().cast("array<string>"))))
+    met = after.where(F.col("cands").isNotNull()).select("query_id", "place", F.explode(F.array_distinct("prev")).alias("prev"), "cands").where(F.col("prev").isNotNull())
+    pairs = met.select("query_id", "place", "prev", F.explode("cands").alias("c")).select("query_id", "place", "prev", F.col("c.cand").alias("token"))
+    counts = model.bigrams.select("prev", "token", F.col("freq").cast("long").alias("freq"))
+    context = pairs.join(counts, ["prev", "token"]).groupBy("query_id", "place").agg(F.map_from_entries(F.collect_list(F.struct(_pair(F.col("prev"), F.col("token")), "freq"))).alias("context"))
+    full = placed.join(context, ["query_id", "place"], "left").withColumn("context", F.coalesce("context", F.create_map().cast("map<string,bigint>")))
+    listed = full.groupBy("query_id").agg(F.collect_list(F.struct("place", "tok", "cands", "context")).alias("seq"))
     by_place = F.array_sort("seq", lambda a, b: a["place"] - b["place"])
 
     def step(done: Column, x: Column) -> Column:
         prev = F.try_element_at(done, F.lit(-1))
-        return F.concat(done, F.array(F.when(x["cands"].isNull(), x["tok"]).otherwise(_choose(x["tok"], x["cands"], prev))))
+        return F.concat(done, F.array(F.when(x["cands"].isNull(), x["tok"]).otherwise(_choose(x["tok"], x["cands"], x["context"], prev))))
 
     return listed.select("query_id", F.aggregate(by_place, F.array().cast("array<string>"), step).alias("toks"))
 

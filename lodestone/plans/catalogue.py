@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import char_ngrams, tokens
+from lodestone.functions.text import tokens
 from lodestone.operators import index as ix
 from lodestone.operators import models, rank, retrieve, spell
 from lodestone.operators.corpus import build_corpus, with_tokens
@@ -15,15 +15,43 @@ SPELLING = (("smal", "small"), ("gizom", "gizmo"), ("blue blot", "blue bolt"), (
 EXTRA_QUERIES = ((100001, "red couch"), (100002, "small wigdet"), (100003, "gizom"), (100004, "blue blot"), (100005, "lrage palte"), (100006, "Red Ring 12"), (100007, "old old anvil"), (100008, "torch the and of"), (100009, "xqzv"))
 
 
-_kept: dict[tuple, object] = {}
+_kept: dict[tuple, tuple[tuple, object, list[DataFrame]]] = {}
+SOURCES = ("part", "documents", "benchmark", "labels")
 
 
-def _once(spark: SparkSession, *key: str, build):
-    """What a session builds once per folder and keeps in Spark's storage (memory, then disk), as an engine loads its corpus once."""
-    key = (spark.sparkContext.applicationId, *key)
+def _state_of(spark: SparkSession, d: str) -> tuple:
+    """Sizes and times of the folder's tables, by which a changed one is known."""
+    out = []
+    for name in SOURCES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out += [(s.getModificationTime(), s.getLen()) for s in ([fs.getFileStatus(path)] if fs.exists(path) else [])]
+    return tuple(out)
+
+
+def _once(spark: SparkSession, d: str, *what: str, build):
+    """What a session builds once per folder, as an engine loads its corpus once: build() gives it and the tables that lie in Spark's storage (memory, then disk).
+
+    A folder whose tables have changed is built anew; ``release`` gives the storage back.
+    """
+    key, state = (spark.sparkContext.applicationId, d, *what), _state_of(spark, d)
+    if key in _kept and _kept[key][0] != state:
+        release(spark, d)
     if key not in _kept:
-        _kept[key] = build()
-    return _kept[key]
+        _kept[key] = (state, *build())
+    return _kept[key][1]
+
+
+def release(spark: SparkSession, d: str) -> None:
+    """Forgets all that is kept of a folder."""
+    for key in [k for k in _kept if k[:2] == (spark.sparkContext.applicationId, d)]:
+        for df in _kept.pop(key)[2]:
+            df.unpersist()
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    df = df.persist()
+    return df, [df]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -46,13 +74,14 @@ def attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, d, "corpus", build=lambda: with_tokens(build_corpus(descriptions(spark, d), titles(spark, d), attributes(spark, d))).persist())
+    return _once(spark, d, "corpus", build=lambda: _stored(with_tokens(build_corpus(descriptions(spark, d), titles(spark, d), attributes(spark, d)))))
 
 
 def index(spark: SparkSession, d: str, *fields: str) -> ix.Index:
-    def build() -> ix.Index:
+    def build():
         made = ix.build_index(corpus(spark, d), fields)
-        return ix.Index(made.postings.persist(), made.terms.persist(), made.fields)
+        postings, terms = made.postings.persist(), made.terms.persist()
+        return ix.Index(postings, terms, made.fields), [postings, terms]
 
     return _once(spark, d, *fields, build=build)
 
@@ -62,15 +91,15 @@ def spelling(spark: SparkSession) -> DataFrame:
 
 
 def queries(spark: SparkSession, d: str, extra: bool = True) -> DataFrame:
-    """query_id, raw_query: the first six tokens of each benchmark item, and EXTRA_QUERIES."""
-    drawn = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens("text"), 1, 6), " ").alias("raw_query"))
+    """query_id, raw_query: the text of each benchmark item, and EXTRA_QUERIES."""
+    drawn = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("raw_query"))
     return drawn.unionByName(spark.createDataFrame(list(EXTRA_QUERIES), "query_id long, raw_query string")) if extra else drawn
 
 
 def plain_queries(spark: SparkSession, d: str) -> DataFrame:
     """Queries understood without dictionaries: synonyms alone change them."""
     q = queries(spark, d).withColumn("raw_tok", tokens("raw_query"))
-    return _once(spark, d, "plain", build=lambda: spell.finish(q.withColumn("toks", F.col("raw_tok"))).persist())
+    return _once(spark, d, "plain", build=lambda: _stored(spell.finish(q.withColumn("toks", F.col("raw_tok")))))
 
 
 def typo_model(spark: SparkSession, d: str) -> ix.TypoModel:
@@ -98,7 +127,7 @@ def candidates(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
 def search(
     corpus_: DataFrame, idx: ix.Index, q: DataFrame, booster, ridge, spaces: tuple[models.LatentSpace, models.LatentSpace], top_k: int = 10, n: int = 100, semantic: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
-    """Ranked results of understood queries with `mode`. semantic: query and product vectors, for candidates beside the lexical ones."""
+    """Ranked results of understood queries with `mode` (balanced or aggressive, balanced if it is neither). semantic: query and product vectors, for candidates beside the lexical ones."""
     lexical = retrieve.hybrid(q, idx, corpus_, n)
     found = lexical.select("query_id", "product_uid")
     if semantic:
@@ -112,7 +141,7 @@ def model_inputs(found: DataFrame, q: DataFrame, corpus_: DataFrame, idx: ix.Ind
     """Candidates with all features and the ridge model's text."""
     keys = ["query_id", "product_uid"]
     full = rank.overlap_features(found, q, corpus_)
-    for more in (rank.field_scores(found, q, idx), rank.tfidf_scores(found, q, idx), models.lsa_scores(found, q, corpus_, *spaces)):
+    for more in (rank.field_scores(found, q, idx), rank.tfidf_scores(found, q, idx), models.lsa_scores(found, q, idx, *spaces)):
         full = full.join(more, keys)
     text = models.pair_text(F.col("q_norm"), F.col("product_title_norm"), F.col("product_description_norm"), F.col("brand_norm"))
     return full.join(q.select("query_id", "q_norm"), "query_id").join(corpus_.select("product_uid", "product_title_norm", "product_description_norm", "brand_norm"), "product_uid").withColumn("text", text).drop("q_norm", "product_title_norm", "product_description_norm", "brand_norm")
@@ -130,15 +159,25 @@ def trained(spark: SparkSession, d: str):
     def build():
         c, idx = corpus(spark, d), index(spark, d, "word", "gram", "title", "desc", "attr")
         q = understood(spark, d).withColumn("mode", F.lit("balanced")).persist()
-        docs = c.select(F.concat("title_tok", "desc_tok").alias("w")).withColumn("c", char_ngrams("w"))
-        spaces = (models.LatentSpace.fit(docs, "w", 512), models.LatentSpace.fit(docs, "c", 512))
+        spaces = latent_spaces(spark, d)
         found = retrieve.hybrid(q, idx, c, 30).select("query_id", "product_uid")
         full = labelled(model_inputs(found, q, c, idx, spaces), spark, d).persist()
-        return c, idx, q, models.fit_booster(full), models.fit_ridge(full), spaces
+        made = c, idx, q, models.fit_booster(full), models.fit_ridge(full), spaces
+        full.unpersist()
+        return made, [q]
 
     return _once(spark, d, "models", build=build)
 
 
+def latent_spaces(spark: SparkSession, d: str) -> tuple[models.LatentSpace, models.LatentSpace]:
+    def build():
+        idx = index(spark, d, "word", "gram", "title", "desc", "attr")
+        spaces = models.LatentSpace.fit(idx, "word"), models.LatentSpace.fit(idx, "gram")
+        return spaces, []
+
+    return _once(spark, d, "spaces", build=build)
+
+
 def search_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     c, idx, q, booster, ridge, spaces = trained(spark, d)
     return search(c, idx, q, booster, ridge, spaces, 10, 50)

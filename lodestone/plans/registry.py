@@ -11,6 +11,7 @@ from lodestone.operators import images as im
 from lodestone.operators import index as ix
 from lodestone.operators import models, profile, rank, retrieve, spell
 from lodestone.plans import catalogue as cat
+from lodestone.sources import tables
 from lodestone.streaming.profile import windowed
 
 N = 20
@@ -43,7 +44,7 @@ def expanded(t: str) -> str:
 CORPUS = f"""corpus as (select d.doc_id as uid, p.p_name as title, d.text as descr, p.p_brand as brand, concat_ws(' ', coalesce(p.p_brand, 'nan'), coalesce(p.p_type, 'nan'), coalesce(cast(p.p_size as varchar), 'nan')) as attrs
   from documents d join part p on d.doc_id = p.p_partkey),
  ctok as (select uid, title, {tok('title')} as t, {tok('descr')} as d, {tok('attrs')} as a, {tok('brand')} as b, {norm('title')} as tn, {norm('descr')} as dn from corpus)"""
-QUERIES_SQL = f"""queries as (select item_id as query_id, array_to_string(({tok('text')})[1:6], ' ') as raw_query from benchmark
+QUERIES_SQL = f"""queries as (select item_id as query_id, text as raw_query from benchmark
   union all select * from (values {', '.join(f"({i}, '{q}')" for i, q in cat.EXTRA_QUERIES)}) v(query_id, raw_query)),
  q as (select query_id, raw_query, {tok('raw_query')} as raw_tok, {canon(tok('raw_query'))} as q_tok, {norm('raw_query')} as raw_norm, array_to_string({canon(tok('raw_query'))}, ' ') as q_norm, {expanded(canon(tok('raw_query')))} as recall_tok from queries where len({tok('raw_query')}) > 0)"""
 
@@ -153,7 +154,7 @@ def catalog_freq(spark: SparkSession, d: str) -> DataFrame:
     return co.title_frequency(rows)
 
 
-@query()
+@query("select doc_id as product_uid from documents join part on doc_id = p_partkey")
 def validate_schema(spark: SparkSession, d: str) -> DataFrame:
     return co.validate(cat.corpus(spark, d)).select("product_uid")
 
@@ -329,10 +330,19 @@ def tfidf_dot(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lsa_scores(spark: SparkSession, d: str) -> DataFrame:
-    c = cat.corpus(spark, d)
-    docs = c.select(F.concat("title_tok", "desc_tok").alias("w")).withColumn("c", text.char_ngrams("w"))
-    spaces = models.LatentSpace.fit(docs, "w", 512), models.LatentSpace.fit(docs, "c", 512)
-    return models.lsa_scores(cat.candidates(spark, d, N), cat.plain_queries(spark, d), c, *spaces)
+    idx = cat.index(spark, d, "word", "gram", "title", "desc", "attr")
+    return models.lsa_scores(cat.candidates(spark, d, N), cat.plain_queries(spark, d), idx, *cat.latent_spaces(spark, d))
+
+
+@query(
+    f"""with cand0 as (with {word_candidates_sql()} select * from cand), v as (select vec_id, {UNIT} as v from embeddings)
+ select query_id, product_uid, round(list_inner_product(a.v, b.v), 6) as score_st_title, round(list_inner_product(a.v, e.v), 6) as score_st_desc
+ from cand0 left join v a on a.vec_id = query_id left join v b on b.vec_id = product_uid left join v e on e.vec_id = product_uid + 1"""
+)
+def feat_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A product's title has the vector of its number, its description the next one."""
+    v = cat.vectors(spark, d)
+    return rank.vector_scores(cat.candidates(spark, d, N), v.withColumnRenamed("product_uid", "query_id"), v, v.withColumn("product_uid", F.col("product_uid") - 1))
 
 
 # ---------------------------------------------------------------- query understanding
@@ -388,6 +398,35 @@ def typo_correct(spark: SparkSession, d: str) -> DataFrame:
     return spell.correct_typos(rows, cat.typo_model(spark, d)).select(F.col("query_id").alias("tok"), F.get("toks", F.lit(0)).alias("corrected"))
 
 
+_TWO_SQL = f"""pw as (select p_partkey, ({tok('p_name')})[1] as w1, ({tok('p_name')})[2] as w2 from part),
+ two as (select p_partkey as query_id, substr(w1, 2, 1) || substr(w1, 1, 1) || substr(w1, 3) as t1, 'x' || substr(w2, 2) || 'q' as t2 from pw where w2 is not null)"""
+_CONTEXT_SQL = f"""{_TWO_SQL}, {_TYPO_SQL},
+ bg as (select prev, token, count(*) as n from (select unnest(l[1:len(l)-1]) as prev, unnest(l[2:]) as token from (select {tok('p_name')} as l from part) where len(l) > 1) group by all),
+ r1 as (select *, row_number() over w as k, lead(dist) over w as dist2 from cands window w as (partition by tok order by dist, shape desc, overlap desc, freq desc, cand)),
+ one as (select two.query_id, t2, case when r.cand is null then t1 when dist <= 1 then cand when not (shape >= 2 or overlap >= 3 or freq >= 8) then t1 when dist2 = dist and shape < 3 then t1 else cand end as c1 from two left join r1 r on r.tok = t1 and r.k = 1),
+ r2 as (select o.query_id, c.*, coalesce(n, 0) as ctx, row_number() over w as k, lead(dist) over w as dist2, lead(coalesce(n, 0)) over w as ctx2 from one o join cands c on c.tok = o.t2 left join bg on prev = o.c1 and token = c.cand window w as (partition by o.query_id order by dist, coalesce(n, 0) desc, shape desc, overlap desc, freq desc, cand))"""
+
+
+@query(
+    f"""with {_CONTEXT_SQL} select o.query_id, c1 || ' ' || case when r.cand is null then t2 when dist <= 1 then cand when not (ctx > 0 or shape >= 2 or overlap >= 3 or freq >= 8) then t2 when dist2 = dist and ctx2 = ctx and shape < 3 then t2 else cand end as corrected
+ from one o left join r2 r on r.query_id = o.query_id and r.k = 1"""
+)
+def typo_context(spark: SparkSession, d: str) -> DataFrame:
+    """Two misspelt words of each title: the second is corrected in the context of the first's correction."""
+    w = cat.titles(spark, d).select(F.col("product_uid").alias("query_id"), text.tokens("product_title").alias("t")).select("query_id", F.get("t", F.lit(0)).alias("a"), F.get("t", F.lit(1)).alias("b")).where("b is not null")
+    spoilt = F.array(F.concat(F.substring("a", 2, 1), F.substring("a", 1, 1), F.substring("a", 3, 99)), F.concat(F.lit("x"), F.substring("b", 2, 99), F.lit("q")))
+    rows = w.select("query_id", F.posexplode(spoilt).alias("place", "tok"))
+    return spell.correct_typos(rows, cat.typo_model(spark, d)).select("query_id", F.array_join("toks", " ").alias("corrected"))
+
+
+_MODES = ("balanced", " Aggressive ", "AGGRESSIVE", "fast", "")
+
+
+@query(f"select event_id, case when lower(trim(m)) = 'aggressive' then 'aggressive' else 'balanced' end as mode from (select event_id, {list(_MODES)}[event_id % 6 + 1] as m from events)")
+def mode_parse(spark: SparkSession, d: str) -> DataFrame:
+    return cat.table(spark, d, "events").select("event_id", retrieve.mode_of(F.get(F.array(*map(F.lit, _MODES)), (F.col("event_id") % 6).cast("int"))).alias("mode"))
+
+
 # ---------------------------------------------------------------- ranking
 
 _BLEND = "round(0.8 * least(greatest(booster, 1.0), 3.0) + 0.2 * least(greatest(ridge, 1.0), 3.0), 6)"
@@ -462,6 +501,106 @@ def image_upsert(spark: SparkSession, d: str) -> DataFrame:
     return out.select("product_uid", "title", "brand", "local_path", "status", (F.year("updated_at") * 100 + F.month("updated_at") == 202406).alias("touched"))
 
 
+@query(
+    f"""with {_STATE_SQL}, res as (select p_partkey as product_uid, case when p_partkey % 2 = 0 then 'downloaded' else 'failed' end as status, 'u' || p_partkey as image_url from part where p_partkey % 4 < 2)
+ select st.product_uid, coalesce(res.status, st.status) as status, res.image_url, case when res.product_uid is null then st.local_path else 'p' end as local_path, res.product_uid is not null as touched from st left join res using (product_uid)"""
+)
+def image_update(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("product_uid")
+    done = cat.titles(spark, d).where("product_uid % 4 < 2").select("product_uid", F.when(key % 2 == 0, "downloaded").otherwise("failed").alias("status"), F.concat(F.lit("u"), key.cast("string")).alias("image_url"), F.lit("s").alias("source"), F.lit("p").alias("local_path"), F.lit("").alias("error"))
+    out = im.update_results(_state(spark, d), done, F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return out.select("product_uid", "status", "image_url", "local_path", (F.year("updated_at") * 100 + F.month("updated_at") == 202406).alias("touched"))
+
+
+_SOLD_SQL = "sold as (select l_partkey as product_uid, count(*) as n from lineitem join part on l_partkey = p_partkey group by 1)"
+
+
+def _sold(spark: SparkSession, d: str) -> DataFrame:
+    return cat.table(spark, d, "lineitem").select(F.col("l_partkey").alias("product_uid")).join(cat.titles(spark, d), "product_uid")
+
+
+def _cased(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes of which every third product's brand is named in lower case."""
+    return cat.attributes(spark, d).withColumn("name", F.when(F.col("product_uid") % 3 == 0, F.lower("name")).otherwise(F.col("name")))
+
+
+@query(f"with {_SOLD_SQL} select product_uid, p_name as product_title, case when p_partkey % 3 = 0 then '' else p_brand end as brand from sold join part on product_uid = p_partkey")
+def image_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    return im.image_catalogue(_sold(spark, d), _cased(spark, d))
+
+
+@query(f"with {_SOLD_SQL}, both_ as (select product_uid, n from sold union all select p_partkey, 1 from part), top as (select product_uid, sum(n) as n from both_ group by 1 order by n desc, product_uid limit 25) select product_uid, p_name as product_title, case when p_partkey % 3 = 0 then '' else p_brand end as brand from top join part on product_uid = p_partkey")
+def image_catalogue_top(spark: SparkSession, d: str) -> DataFrame:
+    """The 25 most frequent products of two title tables laid end to end."""
+    return im.image_catalogue(_sold(spark, d).unionByName(cat.titles(spark, d)), _cased(spark, d), 25)
+
+
+@query(f"with {_STATE_SQL} select p_partkey as product_uid, p_name as product_title, local_path from part left join (select product_uid, local_path from st where status = 'downloaded' and local_path is not null and local_path <> '') on product_uid = p_partkey")
+def image_join(spark: SparkSession, d: str) -> DataFrame:
+    return im.with_images(cat.titles(spark, d).select("product_uid", "product_title"), im.image_map(_state(spark, d)))
+
+
+_LONG = "repeat(p_name || ' ', 60)"
+
+
+@query(
+    f"""select p_partkey as product_uid, case when p_partkey % 4 = 0 then 'downloaded' when p_size % 3 > 0 then 'failed' when p_partkey % 5 = 0 then 'failed' else 'no_image' end as status,
+ case when p_partkey % 4 = 0 then '' when p_size % 3 > 0 then left(case when p_partkey % 7 = 0 then {_LONG} else 'Image download failed' end, 300) when p_partkey % 5 = 0 then left({_LONG}, 300) else 'No image URL found' end as error from part"""
+)
+def image_outcome(spark: SparkSession, d: str) -> DataFrame:
+    key, said = F.col("p_partkey"), F.repeat(F.concat("p_name", F.lit(" ")), F.lit(60))
+    result = im.outcome(F.col("p_size") % 3, key % 4 == 0, F.when(key % 5 == 0, said), F.when(key % 7 == 0, said))
+    return cat.table(spark, d, "part").select(key.alias("product_uid"), result.alias("x")).select("product_uid", "x.status", "x.error")
+
+
+@query(f"with {_STATE_SQL}, n as (select count(*) as done, count(*) filter (where status = 'downloaded') as downloaded, count(*) filter (where status = 'no_image') as no_image, count(*) filter (where status = 'failed') as failed from st where product_uid % 2 = 0) select *, done / 8.0 as rate, (100000 - done) / (done / 8.0) as seconds_left from n")
+def fetch_progress(spark: SparkSession, d: str) -> DataFrame:
+    return im.progress(_state(spark, d).where("product_uid % 2 = 0"), 100000, 8.0)
+
+
+# ---------------------------------------------------------------- scalars
+
+_NUMBERS, _FLAGS = ("12", " 7 ", "x", "1.5", ""), ("TRUE", " yes ", "0", "on", "off")
+
+
+@query(
+    f"""select event_id, coalesce(case when regexp_full_match(trim(a), '[0-9]+') then cast(trim(a) as integer) end, -1) as number, coalesce(lower(trim(b)) in ('1', 'true', 'yes', 'on'), false) as flag,
+ case when s < 0 then 'unknown' when s >= 3600 then (s // 3600) || 'h' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || 'm' when s >= 60 then (s // 60) || 'm' || lpad(cast(s % 60 as varchar), 2, '0') || 's' else s || 's' end as lasted, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as at_
+ from (select *, {list(_NUMBERS)}[event_id % 6 + 1] as a, {list(_FLAGS)}[event_id % 6 + 1] as b, event_id * 7 - 100 as s from events)"""
+)
+def scalar_parse(spark: SparkSession, d: str) -> DataFrame:
+    at = (F.col("event_id") % 6).cast("int")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), at)
+    return cat.table(spark, d, "events").select("event_id", text.parse_int(pick(_NUMBERS), -1).alias("number"), text.parse_flag(pick(_FLAGS)).alias("flag"), text.format_duration(F.col("event_id") * 7 - 100).alias("lasted"), text.iso_time(F.col("ts").cast("timestamp")).alias("at_"))
+
+
+@query("""select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as escaped, text as again, replace(url_encode(text), '%2F', '/') as quoted from documents""")
+def scalar_html(spark: SparkSession, d: str) -> DataFrame:
+    return cat.table(spark, d, "documents").select("doc_id", text.html_escape(F.col("text")).alias("escaped"), text.html_unescape(text.html_escape(F.col("text"))).alias("again"), text.url_quote(F.col("text")).alias("quoted"))
+
+
+_HREF = 'href="([^"]*)"'
+
+
+@query(
+    f"""with u as (select page_id, url, regexp_replace(url, '^https:', 'http:') as plain, list_filter(list_transform(regexp_extract_all(html || '<a href="http://x.test/?a=1&amp;b=2">', '{_HREF}', 1), lambda x: trim(replace(x, '&amp;', '&'))), lambda x: regexp_matches(x, '^https?://')) as l from pages)
+ select page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:5], ' ') as found, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/' as referer, plain || case when starts_with(plain, 'http://example.com/') then ' https://example.com/' || substr(plain, 20) else '' end as tried from u"""
+)
+def scalar_url(spark: SparkSession, d: str) -> DataFrame:
+    plain = F.regexp_replace("url", "^https:", "http:")
+    html = F.concat("html", F.lit('<a href="http://x.test/?a=1&amp;b=2">'))
+    return cat.table(spark, d, "pages").select("page_id", F.array_join(text.found_urls(html, _HREF, 1, 5), " ").alias("found"), text.referer(F.col("url")).alias("referer"), F.array_join(text.https_variant(plain, "example.com"), " ").alias("tried"))
+
+
+@query("select p_partkey, to_json({'texts': [p_name, p_type], 'batch_size': 64, 'normalize_embeddings': true}) as request, 'data:image/' || case p_partkey % 3 when 0 then 'png' when 1 then 'webp' else 'jpeg' end || ';base64,' || to_base64(encode(p_name)) as uri from part")
+def scalar_json(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("a/b"), F.when(F.col("p_partkey") % 3 == 0, ".PNG").when(F.col("p_partkey") % 3 == 1, ".webp").otherwise(""))
+    return cat.table(spark, d, "part").select("p_partkey", tables.embedding_request(F.array("p_name", "p_type")).alias("request"), tables.data_uri(F.encode("p_name", "UTF-8"), path).alias("uri"))
+
+
+# ---------------------------------------------------------------- query profile
+
+
 @query("select count(*) as query_count, round(avg(value), 6) as avg_latency, round(quantile_cont(value, 0.95), 6) as p95_latency, max(value) as max_latency, arg_max(event_type, (ts, event_id)) as last_query from events")
 def profile_summary(spark: SparkSession, d: str) -> DataFrame:
     return profile.summary(cat.table(spark, d, "events"))

@@ -25,11 +25,14 @@ class Settings:
     candidates: int = 100
 
 
-def from_env(prefix: str = "LODESTONE", env: dict[str, str] | None = None) -> Settings:
+def from_env(prefix: str = "LODESTONE", env: dict[str, str] | None = None, embedding_prefix: str = "ST") -> Settings:
+    """Settings from the environment. The service's own variables (ST_EMBEDDING_URL, ...) override the others."""
     env = dict(os.environ) if env is None else env
     found: dict[str, object] = {}
     for f in fields(Settings):
         raw = env.get(f"{prefix}_{f.name.upper()}")
+        if f.name.startswith("embedding_"):
+            raw = env.get(f"{embedding_prefix}_{f.name.upper()}", raw)
         if raw is None:
             continue
         if isinstance(f.default, int):

@@ -163,14 +163,98 @@ def test_latent_space_matches_svd(spark):
     import numpy as np
 
     rng = random.Random(4)
-    df = frame(spark, [(i, [rng.choice("abcdefgh") for _ in range(8)]) for i in range(30)], "id long, w array<string>")
-    s = models.LatentSpace.fit(df, "w", 64, 3)
-    from pyspark.ml.functions import vector_to_array
+    texts = [[rng.choice("abcdefgh") for _ in range(8)] for _ in range(30)]
+    c = frame(spark, [(i, t) for i, t in enumerate(texts)], "product_uid long, title_tok array<string>").withColumn("desc_tok", F.array().cast("array<string>"))
+    idx = ix.build_index(c, ("word",))
+    space = models.LatentSpace.fit(idx, "word", 3)
+    got = {r.product_uid: np.array(r.place) for r in space.project(idx.postings, "product_uid", k=3).collect()}
+    names = sorted({w for t in texts for w in t})
+    tf = np.array([[t.count(w) for w in names] for t in texts], float)
+    idf = np.log(31 / (1 + (tf > 0).sum(axis=0))) + 1
+    x = tf * idf
+    _, _, v = np.linalg.svd(x / np.linalg.norm(x, axis=1, keepdims=True), full_matrices=False)
+    v = v[:3] * np.where(v[:3][np.arange(3), np.abs(v[:3]).argmax(axis=1)] < 0, -1, 1)[:, None]
+    assert np.allclose(np.array([got[i] for i in range(30)]), x @ v.T, atol=1e-6)
+    q = frame(spark, [(1, ["a", "c", "a"]), (2, ["zz"])], "query_id long, q_tok array<string>")
+    pairs = frame(spark, [(1, 4), (2, 4)], "query_id long, product_uid long")
+    s = {r.query_id: r.score_lsa_word for r in models.lsa_scores(pairs, q, idx, space).collect()}
+    y, z = (np.array([2.0 * (w == "a") + (w == "c") for w in names]) * idf) @ v.T, x[4] @ v.T
+    assert abs(s[1] - y @ z / np.linalg.norm(y) / np.linalg.norm(z)) < 1e-5 and s[2] == 0
+
+
+def test_counts_within_rows(spark):
+    rng = random.Random(3)
+    texts = {i: [rng.choice("abcd") for _ in range(rng.randint(0, 12))] for i in range(40)}
+    counted = ix.term_counts(frame(spark, [("f", i, t) for i, t in texts.items()], "field string, product_uid long, toks array<string>"))
+    assert {(r.product_uid, r.term, r.tf, r.dl) for r in counted.collect()} == {(i, w, n, len(t)) for i, t in texts.items() for w, n in Counter(t).items()}
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_negative_scores_are_filled(spark):
+    corpus = frame(spark, [(i,) for i in range(30)], "product_uid long")
+    q = frame(spark, [(1,), (2,), (3,)], "query_id long")
+    rng = random.Random(7)
+    scores = {(k, i): rng.choice((-1.0, -0.5, 2.0)) for k in (1, 2) for i in rng.sample(range(30), 22 if k == 1 else 29)}
+    got = retrieve.fill(frame(spark, [(*k, v) for k, v in scores.items()], "query_id long, product_uid long, score double"), q, corpus, 6, negative=True).collect()
+    for k in (1, 2, 3):
+        want = sorted((-scores.get((k, i), 0.0), -i) for i in range(30))[:6]
+        assert [(-r.score, -r.product_uid) for r in sorted((r for r in got if r.query_id == k), key=lambda r: r["rank"])] == want
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieve, "BLOCK", 7)
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 3)
+    x = np.random.default_rng(1).integers(-2, 3, (60, 4)).astype(float)
+    v = frame(spark, [(i, r.tolist()) for i, r in enumerate(x)], "product_uid long, vec array<double>")
+    got = retrieve.knn(v.where("product_uid < 8").withColumnRenamed("product_uid", "query_id"), v, 5).collect()
+    for k in range(8):
+        want = sorted((-(x[k] @ x[i]), -i) for i in range(60))[:5]
+        assert [(-r.score, -r.product_uid) for r in sorted((r for r in got if r.query_id == k), key=lambda r: r["rank"])] == want
+
+
+def test_salted_terms_score_alike(spark, monkeypatch):
+    _, index = index_of(spark, ["cordless drill kit", "drill bit set", "sofa", "patio door", ""])
+    monkeypatch.setattr(retrieve, "MOST_TERMS", 0)
+    _, s = bm25_of(spark, index, "cordless drill")
+    assert {r.product_uid: round(r.score, 6) for r in s.collect()} == {1: 1.103911, 2: 0.258825}
+
+
+def test_percentile_in_passes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for x in (rng.exponential(3, 4000), rng.integers(0, 3, 500).astype(float), np.array([4.0] * 50 + [9.0])):
+        df = frame(spark, [(float(v),) for v in x] + [(None,)], "x double")
+        for q in (0.0, 0.5, 0.95, 1.0):
+            assert abs(profile.percentile(df, "x", q, most=20) - np.percentile(x, 100 * q)) < 1e-9
+
+
+def test_kept_tables_follow_their_files(spark, tmp_path):
+    from lodestone.plans import catalogue as cat
+
+    for name in ("part", "documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(50).write.parquet(str(tmp_path / f"{name}.parquet"))
+    d = str(tmp_path)
+    assert cat.corpus(spark, d).count() <= 50 and cat.corpus(spark, d) is cat.corpus(spark, d)
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(7).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert cat.corpus(spark, d).count() <= 7
+    cat.release(spark, d)
+    assert not any(k[1] == d for k in cat._kept)
+
 
-    x = np.array([r.v for r in s.vectoriser.transform(df).select(vector_to_array("v").alias("v")).collect()])
-    got = np.array([r.p for r in s.project(df, "p").collect()])
-    sv = np.linalg.svd(x, compute_uv=False)[:3]
-    assert np.allclose(np.linalg.norm(got, axis=0), sv, atol=1e-6)
+def test_image_paths_and_pipeline(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.jpg").write_bytes(b"x")
+    rows = frame(spark, [(1, "1.jpg"), (2, "2.jpg"), (3, str(tmp_path / "a" / "1.jpg"))], "product_uid long, local_path string")
+    assert {r.product_uid for r in im.existing_paths(rows, [str(tmp_path), str(tmp_path / "a")]).collect()} == {1, 3}
+    state = tables.create_state(spark, str(tmp_path / "state"))
+    assert state.count() == 0 and tables.create_state(spark, str(tmp_path / "state")).schema == state.schema
+    attrs = frame(spark, [(1, "Color", "red", 0)], "product_uid long, name string, value string, pos long")
+    titles = frame(spark, [(1, "Drill", 0)], "product_uid long, product_title string, pos long")
+    pipe = co.CorpusPipeline(lambda: {"descriptions": frame(spark, [(1, "A drill.")], "product_uid long, product_description string"), "train": titles, "attributes": attrs})
+    assert pipe.validate(pipe.prepare(pipe.load())).first().title_tok == ["drill"]
 
 
 def test_policies():
@@ -246,4 +330,5 @@ def test_embedding_client(spark):
 def test_settings():
     s = settings.from_env("X", {"X_TOP_K": " 5 ", "X_CANDIDATES": "many", "X_DATA_DIR": "d"})
     assert (s.top_k, s.candidates, s.data_dir) == (5, 100, "d")
+    assert settings.from_env("X", {"X_EMBEDDING_BATCH": "8", "ST_EMBEDDING_BATCH": "16"}).embedding_batch == 16
     assert settings.recommended_workers(2) == 48 and settings.recommended_workers(100) == 256

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ("normalize_text", "char_ngrams", "corpus_build", "first_title", "catalog_freq", "bigram_freq", "vocab_filter", "term_idf", "bm25_topk", "hybrid_balanced", "hybrid_aggressive", "feat_matches", "feat_positions", "feat_overlap_desc", "feat_bm25_fields", "tfidf_dot", "spell_phrase", "spell_token", "typo_candidates", "typo_correct", "knn_cosine", "candidate_union", "image_pending", "image_upsert", "profile_summary", "profile_ring", "profile_windows", "url_extension", "query_variants", "clip_blend")
+FAST = ("normalize_text", "char_ngrams", "corpus_build", "first_title", "catalog_freq", "bigram_freq", "vocab_filter", "term_idf", "bm25_topk", "hybrid_balanced", "hybrid_aggressive", "feat_matches", "feat_positions", "feat_overlap_desc", "feat_bm25_fields", "tfidf_dot", "spell_phrase", "spell_token", "typo_candidates", "typo_correct", "knn_cosine", "candidate_union", "image_pending", "image_upsert", "profile_summary", "profile_ring", "profile_windows", "url_extension", "query_variants", "clip_blend", "validate_schema", "feat_vectors", "typo_context", "mode_parse", "image_update", "image_catalogue", "image_catalogue_top", "image_join", "image_outcome", "fetch_progress", "scalar_parse", "scalar_html", "scalar_url", "scalar_json")
 
 
 @pytest.fixture(scope="module")
