@@ -3,8 +3,8 @@
     y(x) = w0 + sum_i w_i x_i + 1/2 sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2 ]
 
 so all pairwise interactions cost as much as the non-zero features. It is fitted with AdaGrad
-on log-loss, on the driver, from a bounded uniform sample of labelled rows (``TRAIN_ROWS``);
-scoring is a map over whole texts and shuffles nothing.
+on log-loss, on the driver, from a bounded uniform sample of labelled rows (``TRAIN_ROWS`` of
+``TRAIN_BYTES`` of text in all); scoring is a map over whole texts and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.blocks import LOWER, hash_words, ragged, sub_blocks, sum_by, text_bytes, word_spans
 from lodestone.llm.shared import bounded_ids, fold, with_fields
 
-TRAIN_ROWS = 8000
+TRAIN_ROWS, TRAIN_BYTES = 8000, 64 << 20
 WORD_BITS = 15
 WORDS = 1 << WORD_BITS
 FACTORS = 8
@@ -180,14 +180,20 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([*cols, pa.array(label[at:to].astype(float))], names=["bucket", "value", "stats", "label"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> FactorisationMachine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> FactorisationMachine:
     """labels: doc_id and a 0/1 column; a document with several labels takes the majority, 1 on a tie.
 
-    At most `rows` labelled documents (drawn by hashed id) reach the driver, as features.
+    At most `rows` labelled documents of at most `size` bytes in all, and one more (drawn by hashed
+    id, whole texts), reach the driver as features; of rows that repeat an id one is used.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
     sample = F.broadcast(bounded_ids(known, rows, 4).select(F.col("doc_id").alias("label_id"), "label"))  # at most `rows` rows
-    joined = _texts(docs).join(sample, F.col("doc_id") == F.col("label_id")).select("text", "n_chars", "label")
+    order = F.xxhash64("doc_id", F.lit(5))
+    joined = _texts(docs).join(sample, F.col("doc_id") == F.col("label_id")).dropDuplicates(["doc_id"]).select(order.alias("order"), "text", "n_chars", "label")
+    sizes = sorted(joined.select("order", F.coalesce(F.octet_length("text"), F.lit(0))).collect())  # at most `rows` rows
+    within = np.cumsum([r[1] for r in sizes]) <= size
+    if not within.all():
+        joined = joined.where(F.col("order") <= sizes[int(within.argmin())][0])
     got = joined.mapInArrow(_sample_features, "bucket binary, value binary, stats binary, label double").toArrow()
     parts = [(None, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(v, np.float32), np.frombuffer(s).reshape(1, -1)) for b, v, s in zip(*(got.column(c).to_pylist() for c in ("bucket", "value", "stats")), strict=True)]
     y = got.column("label").to_numpy()

@@ -12,11 +12,13 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where a session sets none (as in tests) a local folder of our own."""
+    """spark.checkpoint.dir; only where a local session sets none (as in tests) a local folder of our own. On a cluster a missing setting is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), "lodestone-shared")
     return found.rstrip("/")
@@ -44,7 +46,7 @@ def fold(key: Column, buckets: int) -> Column:
 
 
 def bounded_ids(df: DataFrame, limit: int, salt: int) -> DataFrame:
-    """The rows of df whose hashed doc_id is among the `limit` smallest: a uniform sample of proven size.
+    """The rows of df whose hashed doc_id is among the `limit` smallest: a uniform sample of that size, as ids of df are distinct (callers group by them).
 
     Two passes: ids only, for the threshold; the caller's other columns are read in the second.
     """
