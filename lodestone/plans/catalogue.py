@@ -54,6 +54,18 @@ def _stored(df: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return df, [df]
 
 
+_working: dict[str, DataFrame] = {}
+
+
+def _at_work(df: DataFrame) -> DataFrame:
+    """df, which a plan uses many times, in Spark's storage until the next one takes its place (then it is computed anew where it is still used)."""
+    app = df.sparkSession.sparkContext.applicationId
+    if app in _working:
+        _working.pop(app).unpersist()
+    _working[app] = df.persist()
+    return df
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -121,7 +133,7 @@ def candidates(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
     q, c, idx = plain_queries(spark, d), corpus(spark, d), index(spark, d, "word")
     terms = retrieve.query_terms(q, ("word", "word", F.col("q_tok"), None))
     scores = retrieve.bm25(terms, idx, ("query_id",)).withColumn("score", F.round("score", retrieve.DIGITS))
-    return retrieve.fill(scores, q, c, n, idx.negative())
+    return _at_work(retrieve.fill(scores, q, c, n, idx.negative()))
 
 
 def search(
@@ -132,7 +144,7 @@ def search(
     found = lexical.select("query_id", "product_uid")
     if semantic:
         found = retrieve.merge(lexical, retrieve.knn(*semantic, n)).select("query_id", "product_uid")
-    full = model_inputs(found, q, corpus_, idx, spaces)
+    full = model_inputs(_at_work(found), q, corpus_, idx, spaces)
     scored = models.ridge_scores(ridge, models.booster_scores(booster, full))
     return rank.results(rank.blend(scored), corpus_, top_k)
 
@@ -160,7 +172,7 @@ def trained(spark: SparkSession, d: str):
         c, idx = corpus(spark, d), index(spark, d, "word", "gram", "title", "desc", "attr")
         q = understood(spark, d).withColumn("mode", F.lit("balanced")).persist()
         spaces = latent_spaces(spark, d)
-        found = retrieve.hybrid(q, idx, c, 30).select("query_id", "product_uid")
+        found = _at_work(retrieve.hybrid(q, idx, c, 30).select("query_id", "product_uid"))
         full = labelled(model_inputs(found, q, c, idx, spaces), spark, d).persist()
         made = c, idx, q, models.fit_booster(full), models.fit_ridge(full), spaces
         full.unpersist()

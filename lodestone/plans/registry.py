@@ -440,7 +440,7 @@ def clip_blend(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str):
     c, index, q, booster, ridge, spaces = cat.trained(spark, d)
-    found = retrieve.hybrid(q, index, c, N).select("query_id", "product_uid")
+    found = cat._at_work(retrieve.hybrid(q, index, c, N).select("query_id", "product_uid"))
     return c, cat.model_inputs(found, q, c, index, spaces), booster, ridge
 
 
