@@ -7,15 +7,21 @@ weights that depend on the bucket b of the context's frequency. The weights maxi
 likelihood of held-out counts by expectation-maximisation: each training token is held out
 of the counts it is predicted from ("deleted"), so all training text serves both ends.
 
-Counting is distributed and exact. Documents are dealt into blocks by hashed id. A block sends
-each distinct n-gram once, as a 64-bit hash with its count, to the owner of the hash's range
-(partial aggregation: a very common pair costs one entry a block); owners add up and send
-each block the totals of its own n-grams, which it looks up for every token. So no row per
-token is ever shuffled, joined or collected, and no task sees more than a block or a range.
+Counting is distributed and exact. Rows are dealt into blocks by their place in the input, so
+rows without or with a repeated id are spread like others. A block sends each distinct n-gram
+once, as a 64-bit hash with its count, to the owner of the hash's range (partial aggregation: a
+very common pair costs one entry a block); owners add up and send each block the totals of its
+own n-grams, which it looks up for every token. So no row per token is ever shuffled, joined or
+collected, and no task sees more than a block or a range.
+
+A block's message to a range is a row, and as ranges grow in number with the blocks, messages
+would with their square. So beyond MOST_BLOCKS blocks there are two levels: groups of blocks
+first add up among themselves over few wide ranges, then groups stand for blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import LOWER, hash_words, mix, sub_blocks, sum_by, text_bytes, word_spans
+from lodestone.llm.blocks import LOWER, hash_words, mix, sub_blocks, sum_by, text_bytes, trim, word_spans
 from lodestone.llm.shared import fold, written
 
 #: Bytes of text in a block at most, as far as documents allow.
 BLOCK_TEXT = 16 << 20
+#: Blocks that send their counts to the owners themselves; of more, groups of about the root of their number do.
+MOST_BLOCKS = 4096
 BUCKETS = 24  # of context frequency, by powers of two
 CELLS = 96  # of each probability's logarithm, for the held-out counts
 LOW2, LOW1 = -9.0, -15.0
@@ -49,9 +57,9 @@ def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place = np.arange(len(start)) + doc
         out[place] = hash_words(LOWER[d], start, end)
         words.append(out)
-        docs.append(np.repeat(np.arange(at, to), count + 1))
+        docs.append(np.repeat(np.arange(at, to, dtype=np.int32), count + 1))
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     w, d = np.concatenate(words), np.concatenate(docs)
     before = np.concatenate(([_END], w[:-1]))  # the token before a document's first is the end of another
     return w, mix(before * _K + (w ^ (w >> np.uint64(29)))), d
@@ -66,14 +74,28 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def _sorted(w: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """All hashes of both, sorted in place of their copy."""
+    both = np.concatenate((w, g))
+    both.sort()
+    return both
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where each distinct value of sorted x begins."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def _distinct(w: np.ndarray, g: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All distinct n-grams of a block, sorted, and their counts in its training documents."""
-    h, c = np.unique(np.concatenate((w[learn], g[learn])), return_counts=True)
-    if learn.all():
-        return h, c
-    every = np.union1d(h, np.concatenate((w[~learn], g[~learn])))
+    every = _sorted(w, g)
+    every = every[_firsts(every)]
+    x = _sorted(w[learn], g[learn])
+    first = _firsts(x)
     count = np.zeros(len(every), np.int64)
-    count[np.searchsorted(every, h)] = c
+    count[np.searchsorted(every, x[first])] = np.diff(np.append(first, len(x)))
     return every, count
 
 
@@ -83,31 +105,87 @@ def _range_cuts(h: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))
 
 
+MESSAGE = "rng int, block long, hashes binary, counts binary"
+
+
+def _messages(h: np.ndarray, c: np.ndarray, block: int, ranges: int, wide: int = 1, of: int = 0) -> pa.Table:
+    """Sorted hashes and their counts as rows of MESSAGE, one for each of the equal ranges that holds any; those of the of-th of `wide` equal ranges, if these are all."""
+    cut = _range_cuts(h, ranges)
+    full = [i for i in range(of * ranges // wide, ranges if wide == 1 else -(-(of + 1) * ranges // wide)) if cut[i] < cut[i + 1]]
+    hashes = [planes(np.diff(h[cut[i] : cut[i + 1]], prepend=np.uint64(0))) for i in full]
+    counts = [planes(c[cut[i] : cut[i + 1]]) for i in full]
+    return pa.table([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["rng", "block", "hashes", "counts"])
+
+
 def _counter(ranges: int):
     def count(table: pa.Table) -> pa.Table:
         w, g, doc = tokens(table.column("text"))
         learn = table.column("learn").to_numpy(zero_copy_only=False)[doc] if len(doc) else np.zeros(0, bool)
         h, c = _distinct(w, g, learn)
-        cut = _range_cuts(h, ranges)
-        full = [i for i in range(ranges) if cut[i] < cut[i + 1]]
-        hashes = [planes(np.diff(h[cut[i] : cut[i + 1]], prepend=np.uint64(0))) for i in full]
-        counts = [planes(c[cut[i] : cut[i + 1]]) for i in full]
-        block = table.column("block")[0].as_py()
-        return pa.table([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["rng", "block", "hashes", "counts"])
+        out = _messages(h, c, table.column("block")[0].as_py(), ranges)
+        trim()
+        return out
 
     return count
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """Totals of a range's n-grams, for each block in the order that it sent them."""
+def _opened(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the messages to one range: each one's hashes; all distinct hashes; each one's place among these, one message after another; the sum of its counts."""
     hashes = [np.cumsum(unplanes(x), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
-    counts = [unplanes(x) for x in table.column("counts").to_pylist()]
     distinct, code = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(code, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)[code]
-    parts = np.split(total, np.cumsum([len(x) for x in hashes])[:-1])
+    total = np.bincount(code, weights=np.concatenate([unplanes(x) for x in table.column("counts").to_pylist()]), minlength=len(distinct)).astype(np.int64)
+    return hashes, distinct, code, total
+
+
+def _replies(table: pa.Table, hashes: list[np.ndarray], totals: np.ndarray) -> pa.Table:
+    parts = np.split(totals, np.cumsum([len(x) for x in hashes])[:-1])
     return pa.table([table.column("block"), table.column("rng"), pa.array([planes(x) for x in parts], pa.binary())], names=["block", "rng", "totals"])
 
 
+REPLY = "block long, rng int, totals binary"
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """Totals of a range's n-grams, for each block in the order that it sent them."""
+    hashes, _, code, total = _opened(table)
+    return _replies(table, hashes, total[code])
+
+
+def _gather(ranges: int, wide: int):
+    """The messages of a group's blocks to one wide range as the group's own to the narrower ones within."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        _, distinct, _, total = _opened(table)
+        return _messages(distinct, total, table.column("team")[0].as_py(), ranges, wide, table.column("rng")[0].as_py())
+
+    return gather
+
+
+def _pass_on(sent: pa.Table, got: pa.Table) -> pa.Table:
+    """The totals that a group was sent, for its blocks."""
+    if not sent.num_rows:
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["block", "rng", "totals"])
+    hashes, _, code, _ = _opened(sent)
+    order = np.argsort(got.column("rng").to_numpy())
+    replies = got.column("totals").to_pylist()
+    total = np.concatenate([unplanes(replies[i]) for i in order.tolist()])
+    return _replies(sent, hashes, total[code])
+
+
+def totals_of(src: DataFrame, blocks: int, ranges: int, most: int = MOST_BLOCKS) -> DataFrame:
+    """REPLY for each block of src (block, learn, text): totals of its n-grams by range, in order of their hashes."""
+    if blocks <= most:
+        return src.groupBy("block").applyInArrow(_counter(ranges), MESSAGE).groupBy("rng").applyInArrow(_add_up, REPLY)
+    # wide ranges are whole numbers of narrow ones
+    teams = wide = math.isqrt(blocks)
+    ranges = -(-ranges // wide) * wide
+    sent = src.groupBy("block").applyInArrow(_counter(wide), MESSAGE).withColumn("team", F.pmod(F.xxhash64("block", F.lit(5)), F.lit(teams)))
+    up = sent.groupBy("team", "rng").applyInArrow(_gather(ranges, wide), MESSAGE)
+    down = up.groupBy("rng").applyInArrow(_add_up, REPLY)
+    back = down.select(F.col("block").alias("team"), F.floor(F.col("rng") / (ranges // wide)).cast("int").alias("wide"), "rng", "totals")
+    return sent.groupBy("team", "rng").cogroup(back.groupBy("team", "wide")).applyInArrow(_pass_on, REPLY)
+
+
 _ZSTD = pa.Codec("zstd", 1)
 
 
@@ -130,31 +208,37 @@ def _look_up(docs: pa.Table, totals: pa.Table) -> pa.Table:
     if not n:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())], names=names)
     w, g, doc = tokens(docs.column("text"))
-    h = np.unique(np.concatenate((w, g)))
+    h = _sorted(w, g)
+    h = h[_firsts(h)]
     order = np.argsort(totals.column("rng").to_numpy())
     sent = totals.column("totals").to_pylist()
     total = np.concatenate([unplanes(sent[i]) for i in order.tolist()]).astype(np.int64)
+    del sent
     of_word, of_pair = total[np.searchsorted(h, w)], total[np.searchsorted(h, g)]
+    del w, g, h, total
     learn = docs.column("learn").to_numpy(zero_copy_only=False)
     size = np.bincount(doc, minlength=n)
     known = np.bincount(doc, weights=of_word > 0, minlength=n).astype(np.int64)
     share = sum_by(learn[doc] / np.maximum(of_word, 1), doc, n)  # over all training text these add up to the vocabulary
     cut = np.concatenate(([0], np.cumsum(size)))
     pick = lambda x: pa.array([_squeeze(x[cut[i] : cut[i + 1]]) for i in range(n)], pa.binary())
-    return pa.table([docs.column("doc_id"), docs.column("learn"), pa.array(size), pa.array(known), pa.array(share), pick(of_word), pick(of_pair)], names=names)
+    out = pa.table([docs.column("doc_id"), docs.column("learn"), pa.array(size), pa.array(known), pa.array(share), pick(of_word), pick(of_pair)], names=names)
+    trim()
+    return out
+
 
+def count_events(docs: DataFrame, learn, most: int = MOST_BLOCKS) -> DataFrame:
+    """EVENTS of every document, written to the shared folder. learn: which rows the counts come from.
 
-def count_events(docs: DataFrame, learn) -> DataFrame:
-    """EVENTS of every document, written to the shared folder. learn: which rows the counts come from."""
+    docs comes from files or a written table, whose rows have their places whenever they are read.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(2 * parts, -(-size // BLOCK_TEXT))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    src = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(blocks)).cast("int"))
-    ranges = max(parts, blocks // 2)
-    sent = src.groupBy("block").applyInArrow(_counter(ranges), "rng int, block int, hashes binary, counts binary")
-    totals = sent.groupBy("rng").applyInArrow(_add_up, "block int, rng int, totals binary")
+    src = src.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(11)), F.lit(blocks)))
+    totals = totals_of(src, blocks, max(parts, blocks // 2), most)
     events = src.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_look_up, EVENTS)
     return written(events, "events")
 
@@ -266,7 +350,8 @@ def score_texts(docs: DataFrame, learn) -> DataFrame:
 
     A null text counts as empty: its end token alone. A row whose learn is null is not learned
     from. With nothing to learn from, all mass is uniform. Repeated rows are counted and scored
-    once each. Other columns are not read.
+    once each; a very long text is read whole, in a block of its own size. An empty table gives no
+    rows. Other columns are not read.
     """
     events = count_events(docs, learn)
     return score_events(events, fit_interpolation(events))

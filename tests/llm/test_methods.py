@@ -397,12 +397,13 @@ def test_clean_documents_stay(spark):
 # ---------------------------------------------------------------- 7
 
 
-def test_scores_against_brute_force(spark):
+@pytest.mark.parametrize("most", [interpolation.MOST_BLOCKS, 1])  # one level of blocks, and two
+def test_scores_against_brute_force(spark, most):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["The", "cat", "sat", "on", "a", "mat", f"w{rng.randint(0, 30)}"]) for _ in range(rng.randint(0, 30)))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     learn = F.col("doc_id") % 4 != 0
-    events = interpolation.count_events(df, learn)
+    events = interpolation.count_events(df, learn, most)
     model = interpolation.fit_interpolation(events)
     toks = {i: [*re.sub("[A-Z]", lambda m: m[0].lower(), s).split(), None] for i, s in rows}
     uni, bi = Counter(), Counter()
