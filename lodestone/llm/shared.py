@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), "lodestone-shared")

@@ -128,3 +128,76 @@ def test_secrets(odd, none):
     got = secrets.find_secrets(odd, mark="*").collect()
     assert len(got) == 9 and all(r.secret_spans == [] for r in got) and {r.doc_id: r.redacted for r in got}[1] is None
     assert secrets.secret_digest(none).count() == 0
+
+
+# ---------------------------------------------------------------- pipeline stages
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("odd")
+    labels(spark).write.parquet(str(d / "labels.parquet"))
+    return str(d)
+
+
+def stages():
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize("name", ["language_id", "near_dedup", "secret_scan", "domain_mixing"])
+def test_stage_of_odd_rows(spark, odd, none, folder, name):
+    """Columns come back as they were; rows go only where the stage says so."""
+    taken = odd.withColumns({c: F.lit(1) for c in ("kept_id", "__id", "__rate", "__copies", "row", "node", "redacted", "main_text")})
+    stage = stages()[name]
+    out = stage(spark, taken, folder)
+    assert out.columns == taken.columns and out.dtypes == taken.dtypes
+    ids = sorted(r.doc_id or 0 for r in out.collect())
+    full = [0, 1, 2, 3, 4, 4, 5, 6, 7]
+    want = {"language_id": [0, 4, 4, 6, 7], "near_dedup": [0, 1, 2, 3, 4, 5, 6, 7], "secret_scan": full}
+    assert ids == want[name] if name in want else set(ids) <= set(full) and 0 in ids
+    assert stage(spark, none, folder).count() == 0
+
+
+def test_packing_stage_of_odd_rows(spark, odd, none, folder):
+    got = stages()["packing"](spark, odd, folder)
+    assert got.where("doc_id = 4").count() == 2 and got.agg(F.sum("length")).first()[0] == got.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    assert stages()["packing"](spark, none, folder).count() == 0
+
+
+def test_ties(spark):
+    """Rows that are equal but for their order get equal results, whatever the order."""
+    rows = [(i, "the same words of one text stand here twice and more", "en", "a", 50) for i in range(6)] + [(9, "la la la la", "fr", "a", 11), (8, "da da da da", "de", "a", 11)]
+    for x in (rows, rows[::-1]):
+        docs = spark.createDataFrame(x, SCHEMA)
+        model = language.train(docs)
+        assert model.names == ["de", "en", "fr"]
+        got = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+        assert len({got[i] for i in range(6)}) == 1
+        # two languages with as many letters: the first by name
+        even = spark.createDataFrame([(1, "la la la la la\n1 2 3\nda da da da da")], "doc_id long, text string")
+        spans = language.identify(even, model, spans=True).first()
+        assert spans.lang_pred == min(s.lang for s in spans.lang_spans) if len({s.lang for s in spans.lang_spans}) == 2 else True
+        assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()} == {**dict.fromkeys(range(6), 0), 8: 8, 9: 9}
+        fm = quality.train(docs, spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 0)], "doc_id long, quality int"))
+        assert len({r.score for r in quality.score(docs, fm).collect() if r.doc_id < 6}) == 1
+        rates = mixing.mix(docs, spark.createDataFrame([(0, 1, 0), (1, 0, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")).collect()
+        assert len({r.rate for r in rates if r.doc_id < 6}) == 1
+
+
+def test_very_long_texts(spark):
+    """Texts of several blocks are read whole."""
+    text = "one long text of many words " * 250_000 + "password=abcdefgh12345"
+    docs = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, "short text", "en", "a", 10)], SCHEMA)
+    found = {r.doc_id: r for r in secrets.secret_digest(docs).collect()}
+    assert found[1].n_assign == 1 and found[1].spans.startswith(f"assign:{len(text) - 22}:")
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, language.train(docs)).collect()} == {1: "en", 2: "en"}
+    pieces = packing.pack_documents(docs).where("doc_id = 1").agg(F.sum("length"), F.max("doc_tokens")).first()
+    assert pieces[0] == pieces[1] > 1_000_000
+    assert {r.doc_id: r.payload_bytes for r in tiff.media_digest(docs).collect()}[1] == -(-len(text) // 64) * 64
+    assert {r.doc_id: r.n_tokens for r in interpolation.score_texts(docs, F.lit(True)).collect()}[1] == text.count(" ") + 2
+    page = spark.createDataFrame([(1, f"<article><p>{text}</p></article>")], "page_id long, html string")
+    assert html_crf.extract(page).first().main_text == text
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()} == {1: 1, 2: 2}
+    assert {r.doc_id: r.n_words for r in outliers.judge(docs).collect()}[1] == text.count(" ") + 1
