@@ -23,8 +23,8 @@ SUBSET = 0.75
 STEPS = 4
 #: Groups of fewer texts that pass the base rules are judged by the estimate of their language, or else of the whole table.
 LEAST_GROUP = 50
-#: Groups whose estimates are broadcast: at most so many, of 25 numbers each.
-MAX_BROADCAST = 20_000
+#: Groups whose estimates are broadcast: at most so many, of 25 numbers each. Beyond, a group's rows are dealt to SALTS tasks.
+MAX_BROADCAST, SALTS = 20_000, 16
 #: Ridge on the scatter: a tenth in the root of a ratio is no evidence, and constant statistics stay regular.
 RIDGE = 1e-2
 VECTOR = ("x0", "x1", "x2", "x3", "x4")
@@ -78,9 +78,13 @@ def transformed() -> list[Column]:
     ]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table of groups, marked for broadcast while it has at most MAX_BROADCAST rows; beyond it both sides are shuffled."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+def _beside(points: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """points joined with a written table of groups. Few groups are broadcast; of many each is laid out SALTS times, so that a hot group's rows are spread."""
+    if groups.count() <= MAX_BROADCAST:
+        return points.join(F.broadcast(groups), keys, how)
+    salted = groups.withColumn("g_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    dealt = points.withColumn("g_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [*keys, "g_salt"], how).drop("g_salt")
 
 
 def _distance(centre, scatter) -> Column:
@@ -112,7 +116,7 @@ def _factored(groups: DataFrame, keys: list[str]) -> DataFrame:
 
 def _with_distance(points: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
     """points with d2; where a group has no estimate d2 is null."""
-    joined = points.join(_small(factors), keys, "left")
+    joined = _beside(points, factors, keys, "left")
     return joined.withColumn("d2", _distance(lambda i: F.col(f"m{i}"), lambda i, j: F.col(f"l{i}{j}"))).select(*points.columns, "d2")
 
 
@@ -133,7 +137,7 @@ def mcd(points: DataFrame, keys: list[str], steps: int = STEPS, subset: float =
     d = len(VECTOR)
     middle = points.groupBy(*keys).agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(VECTOR)), F.count("*").alias("n")).where(F.col("n") >= LEAST_GROUP)
     middle = written(middle, "middle")
-    off = points.join(_small(middle).select(*keys, *(f"m{i}" for i in range(d))), keys)
+    off = _beside(points, middle.select(*keys, *(f"m{i}" for i in range(d))), keys)
     spread = off.groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, x in enumerate(VECTOR)))
     start = middle.join(spread, keys).select(*keys, *(f"m{i}" for i in range(d)), *((F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)))
     factors = written(_factored(start, keys), "factors")
@@ -143,7 +147,7 @@ def mcd(points: DataFrame, keys: list[str], steps: int = STEPS, subset: float =
         if step == steps:  # consistency: the h-th distance is where it belongs for normal data
             scale = F.greatest(F.sqrt(F.col("cut") / CHI_SUBSET), F.lit(1e-6))
             return written(factors.join(cut, keys).select(*keys, *(f"m{i}" for i in range(d)), *((F.col(f"l{i}{j}") * scale).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1))), "mcd")
-        kept = near.join(_small(cut), keys).where("d2 <= cut")
+        kept = _beside(near, cut, keys).where("d2 <= cut")
         factors = written(_factored(_moments(kept, keys), keys), "factors")
     raise AssertionError
 
@@ -154,7 +158,7 @@ def _estimates(points: DataFrame, keys: list[str], wider: list[str]) -> DataFram
     small = written(points.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") < LEAST_GROUP).select(*keys), "small")
     if small.isEmpty():
         return own
-    some = points.join(_small(written(small.select(*wider).distinct(), "wider")), wider, "left_semi")
+    some = _beside(points, written(small.select(*wider).distinct(), "wider"), wider, "left_semi")
     pooled = mcd(some, wider)
     out = own.unionByName(small.join(pooled, wider).select(*own.columns))
     rest = written(small.join(pooled, wider, "left_anti"), "rest")
@@ -171,7 +175,9 @@ def judge(docs: DataFrame) -> DataFrame:
     the base rules (under 50 words, or over half of the words in repeated windows) are rejected
     and not estimated from. Groups of fewer than LEAST_GROUP others are judged by the estimate of
     their language, or of the whole table where the language has fewer too; a table of fewer has
-    none, and null distances. Repeated rows count once each. Extra columns are not read.
+    none, and null distances. Null and empty texts have no words and fail the base rules; texts are
+    read whole whatever their length. Repeated rows count once each, rows of equal statistics get
+    equal verdicts; an empty table gives no rows. Extra columns are not read.
     """
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("g_lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("g_source"), F.col("lang").isNull().alias("g_no_lang"), F.col("source").isNull().alias("g_no_source"))
     counted = with_counts(src).drop("text")

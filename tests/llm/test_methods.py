@@ -378,7 +378,9 @@ def test_concentration_steps_against_numpy(spark):
     assert h.shape == (1, 5)
 
 
-def test_small_groups_are_judged(spark):
+@pytest.mark.parametrize("most", [outliers.MAX_BROADCAST, 0])  # estimates broadcast, and laid out
+def test_small_groups_are_judged(spark, monkeypatch, most):
+    monkeypatch.setattr(outliers, "MAX_BROADCAST", most)
     rng = random.Random(6)
     prose = lambda: [rng.choice("abcdef") * rng.randint(2, 8) + str(rng.randrange(10**6)) for _ in range(rng.randint(90, 110))]
     rows = [(i, " ".join(prose()), *g) for i, g in enumerate([("en", "big")] * 80 + [("en", "few")] * 9 + [("xx", "few")] * 9)]
