@@ -9,6 +9,7 @@ from lodestone.functions.text import tokens
 from lodestone.operators import index as ix
 from lodestone.operators import models, rank, retrieve, spell
 from lodestone.operators.corpus import build_corpus, with_tokens
+from lodestone.sources.shared import written
 
 #: A small spelling dictionary and queries beside those drawn from tables.
 SPELLING = (("smal", "small"), ("gizom", "gizmo"), ("blue blot", "blue bolt"), ("anvill", "old anvil"), ("Red Ring", "red ring"), ("wigdet", "widget"))
@@ -30,7 +31,7 @@ def _state_of(spark: SparkSession, d: str) -> tuple:
 
 
 def _once(spark: SparkSession, d: str, *what: str, build):
-    """What a session builds once per folder, as an engine loads its corpus once: build() gives it and the tables that lie in Spark's storage (memory, then disk).
+    """What a session builds once per folder, as an engine loads its corpus once: build() gives it and its tables in Spark's storage (memory, then disk).
 
     A folder whose tables have changed is built anew; ``release`` gives the storage back.
     """
@@ -49,23 +50,12 @@ def release(spark: SparkSession, d: str) -> None:
             df.unpersist()
 
 
-def _stored(df: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    df = df.persist()
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, list[DataFrame]]:
+    """df, written and then kept in storage: plans that use it end at the written table."""
+    df = written(df, name).persist()
     return df, [df]
 
 
-_working: dict[str, DataFrame] = {}
-
-
-def _at_work(df: DataFrame) -> DataFrame:
-    """df, which a plan uses many times, in Spark's storage until the next one takes its place (then it is computed anew where it is still used)."""
-    app = df.sparkSession.sparkContext.applicationId
-    if app in _working:
-        _working.pop(app).unpersist()
-    _working[app] = df.persist()
-    return df
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -86,14 +76,16 @@ def attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, d, "corpus", build=lambda: _stored(with_tokens(build_corpus(descriptions(spark, d), titles(spark, d), attributes(spark, d)))))
+    return _once(spark, d, "corpus", build=lambda: _stored(with_tokens(build_corpus(descriptions(spark, d), titles(spark, d), attributes(spark, d))), "corpus"))
 
 
 def index(spark: SparkSession, d: str, *fields: str) -> ix.Index:
     def build():
         made = ix.build_index(corpus(spark, d), fields)
-        postings, terms = made.postings.persist(), made.terms.persist()
-        return ix.Index(postings, terms, made.fields), [postings, terms]
+        postings, kept = _stored(made.postings, "postings")
+        fields_ = written(made.fields, "fields")
+        terms, more = _stored(ix.term_stats(postings, fields_), "terms")
+        return ix.Index(postings, terms, fields_), kept + more
 
     return _once(spark, d, *fields, build=build)
 
@@ -111,7 +103,7 @@ def queries(spark: SparkSession, d: str, extra: bool = True) -> DataFrame:
 def plain_queries(spark: SparkSession, d: str) -> DataFrame:
     """Queries understood without dictionaries: synonyms alone change them."""
     q = queries(spark, d).withColumn("raw_tok", tokens("raw_query"))
-    return _once(spark, d, "plain", build=lambda: _stored(spell.finish(q.withColumn("toks", F.col("raw_tok")))))
+    return _once(spark, d, "plain", build=lambda: _stored(spell.finish(q.withColumn("toks", F.col("raw_tok"))), "queries"))
 
 
 def typo_model(spark: SparkSession, d: str) -> ix.TypoModel:
@@ -133,7 +125,7 @@ def candidates(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
     q, c, idx = plain_queries(spark, d), corpus(spark, d), index(spark, d, "word")
     terms = retrieve.query_terms(q, ("word", "word", F.col("q_tok"), None))
     scores = retrieve.bm25(terms, idx, ("query_id",)).withColumn("score", F.round("score", retrieve.DIGITS))
-    return _at_work(retrieve.fill(scores, q, c, n, idx.negative()))
+    return written(retrieve.fill(scores, q, c, n, idx.negative()), "candidates")
 
 
 def search(
@@ -144,7 +136,7 @@ def search(
     found = lexical.select("query_id", "product_uid")
     if semantic:
         found = retrieve.merge(lexical, retrieve.knn(*semantic, n)).select("query_id", "product_uid")
-    full = model_inputs(_at_work(found), q, corpus_, idx, spaces)
+    full = model_inputs(written(found, "candidates"), q, corpus_, idx, spaces)
     scored = models.ridge_scores(ridge, models.booster_scores(booster, full))
     return rank.results(rank.blend(scored), corpus_, top_k)
 
@@ -170,13 +162,11 @@ def trained(spark: SparkSession, d: str):
 
     def build():
         c, idx = corpus(spark, d), index(spark, d, "word", "gram", "title", "desc", "attr")
-        q = understood(spark, d).withColumn("mode", F.lit("balanced")).persist()
+        q, kept = _stored(understood(spark, d).withColumn("mode", F.lit("balanced")), "queries")
         spaces = latent_spaces(spark, d)
-        found = _at_work(retrieve.hybrid(q, idx, c, 30).select("query_id", "product_uid"))
-        full = labelled(model_inputs(found, q, c, idx, spaces), spark, d).persist()
-        made = c, idx, q, models.fit_booster(full), models.fit_ridge(full), spaces
-        full.unpersist()
-        return made, [q]
+        found = written(retrieve.hybrid(q, idx, c, 30).select("query_id", "product_uid"), "candidates")
+        full = written(labelled(model_inputs(found, q, c, idx, spaces), spark, d), "labelled")
+        return (c, idx, q, models.fit_booster(full), models.fit_ridge(full), spaces), kept
 
     return _once(spark, d, "models", build=build)
 

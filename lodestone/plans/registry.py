@@ -12,6 +12,7 @@ from lodestone.operators import index as ix
 from lodestone.operators import models, profile, rank, retrieve, spell
 from lodestone.plans import catalogue as cat
 from lodestone.sources import tables
+from lodestone.sources.shared import written
 from lodestone.streaming.profile import windowed
 
 N = 20
@@ -440,7 +441,7 @@ def clip_blend(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str):
     c, index, q, booster, ridge, spaces = cat.trained(spark, d)
-    found = cat._at_work(retrieve.hybrid(q, index, c, N).select("query_id", "product_uid"))
+    found = written(retrieve.hybrid(q, index, c, N).select("query_id", "product_uid"), "candidates")
     return c, cat.model_inputs(found, q, c, index, spaces), booster, ridge
 
 

@@ -312,6 +312,13 @@ def test_csv_sources(spark, tmp_path):
     assert [(r.product_uid, r.product_title) for r in rows] == [(7, 'Café "x", a\nb'), (7, None), (None, "z\\")]
     with pytest.raises(ValueError):
         tables.read_csv(spark, str(tmp_path / "train.csv"), "nothing string")
+    (tmp_path / "many.csv").write_text("product_uid,product_title\n" + "".join(f"{i},t{i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        split = tables.read_csv(spark, str(tmp_path / "many.csv"), tables.TITLES, spans_lines=False)
+        assert split.select(F.spark_partition_id()).distinct().count() > 1 and [r.product_uid for r in split.orderBy("pos").collect()] == list(range(20_000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "log.txt").write_text("a\nb\nc\n")
     assert [r.line for r in tables.read_log_tail(spark, str(tmp_path / "log.txt"), 2).collect()] == ["b", "c"]
     (tmp_path / "p.png").write_bytes(b"\x89PNG")

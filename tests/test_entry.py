@@ -33,6 +33,22 @@ def test_query_equals_sql(spark, sql, name):
     assert plain([r.asDict() for r in got.collect()], cols) == plain(want[cols].astype(object).to_dict("records"), cols)
 
 
+def test_learned_queries_run_whole(spark):
+    """All columns of what rests on fitted models: fitted numbers can't stand in SQL."""
+    run = lambda name: entry.queries()[name](spark, DIR).collect()
+    lsa = run("lsa_scores")
+    assert len(lsa) == 980 and all(-1 <= r[c] <= 1 for r in lsa for c in ("score_lsa_word", "score_lsa_char")) and any(r.score_lsa_char > 0.5 for r in lsa)
+    found = run("search_e2e")
+    assert {r["rank"] for r in found} == set(range(1, 11)) and all(1 <= r.relevance_score <= 3 for r in found)
+    by = {}
+    for r in found:
+        by.setdefault(r.query_id, []).append((r["rank"], -r.relevance_score, -r.product_uid))
+    assert all([x[1:] for x in sorted(v)] == sorted(x[1:] for x in v) for v in by.values())
+    assert found == run("search_e2e") or sorted(map(tuple, found)) == sorted(map(tuple, run("search_e2e")))
+    for name in ("ridge_rank", "gbt_rank"):
+        assert len(run(name)) == len(found)
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
