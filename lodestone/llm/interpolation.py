@@ -7,8 +7,8 @@ weights that depend on the bucket b of the context's frequency. The weights maxi
 likelihood of held-out counts by expectation-maximisation: each training token is held out
 of the counts it is predicted from ("deleted"), so all training text serves both ends.
 
-Counting is distributed and exact. Rows are dealt into blocks by their place in the input, so
-rows without or with a repeated id are spread like others. A block sends each distinct n-gram
+Counting is distributed and exact. Rows are cut into blocks as they lie in the input, so rows
+without or with a repeated id are like others. A block sends each distinct n-gram
 once, as a 64-bit hash with its count, to the owner of the hash's range (partial aggregation: a
 very common pair costs one entry a block); owners add up and send each block the totals of its
 own n-grams, which it looks up for every token. So no row per token is ever shuffled, joined or
@@ -27,14 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.blocks import LOWER, hash_words, mix, sub_blocks, sum_by, text_bytes, trim, word_spans
 from lodestone.llm.shared import fold, written
 
-#: Bytes of text in a block at most, as far as documents allow.
-BLOCK_TEXT = 16 << 20
+#: Bytes of text in a block at most, as far as documents allow, and at least, as far as a task's input does.
+BLOCK_TEXT, LEAST_TEXT = 16 << 20, 1 << 20
 #: Blocks that send their counts to the owners themselves; of more, groups of about the root of their number do.
 MOST_BLOCKS = 4096
 BUCKETS = 24  # of context frequency, by powers of two
@@ -46,9 +47,8 @@ _END = np.uint64(0x5851F42D4C957F2D)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hash, bigram hash, document) of every token; each document ends with the end token, which is also the context of its first word."""
-    data, offsets = text_bytes(text)
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hash, bigram hash, document) of every token of texts as bytes and offsets; each document ends with the end token, which is also the context of its first word."""
     words, docs = [], []
     for at, to, d, o in sub_blocks(data, offsets):
         start, end, doc = word_spans(d, o)
@@ -65,6 +65,47 @@ def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, mix(before * _K + (w ^ (w >> np.uint64(29)))), d
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _small(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _large(small: bytes) -> bytes:
+    size = int.from_bytes(small[:8], "little")
+    return _ZSTD.decompress(small[8:], decompressed_size=size, asbytes=True) if size else b""
+
+
+PIECE = "block long, ids array<bigint>, learn array<boolean>, sizes array<bigint>, texts binary"
+
+
+def _pieces(limit: int):
+    """Rows in blocks of at most `limit` bytes of text (or one document), in pieces whose texts are compressed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for at, to, d, o in sub_blocks(data, offsets):
+                if filled and filled + len(d) > limit:
+                    block, filled = block + 1, 0
+                filled += len(d)
+                part, one = batch.slice(at, to - at), pa.array([0, to - at], pa.int32())
+                lists = [pa.ListArray.from_arrays(one, x) for x in (part.column("doc_id"), part.column("learn"), pa.array(np.diff(o)))]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([_small(d.tobytes())], pa.binary())], names=["block", "ids", "learn", "sizes", "texts"])
+
+    return run
+
+
+def _opened_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(bytes, offsets, ids, learn) of a block's pieces."""
+    flat = lambda c: pa.concat_arrays([x.flatten() for x in table.column(c).chunks])
+    sizes = flat("sizes").to_numpy()
+    data = b"".join(map(_large, table.column("texts").to_pylist()))
+    return np.frombuffer(data, np.uint8), np.concatenate(([0], np.cumsum(sizes))), flat("ids"), flat("learn").to_numpy(zero_copy_only=False)
+
+
 def planes(x: np.ndarray) -> bytes:
     """Integers byte by byte of each rank: columns of zeros that compress to nothing."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -119,9 +160,9 @@ def _messages(h: np.ndarray, c: np.ndarray, block: int, ranges: int, wide: int =
 
 def _counter(ranges: int):
     def count(table: pa.Table) -> pa.Table:
-        w, g, doc = tokens(table.column("text"))
-        learn = table.column("learn").to_numpy(zero_copy_only=False)[doc] if len(doc) else np.zeros(0, bool)
-        h, c = _distinct(w, g, learn)
+        data, offsets, _, learn = _opened_texts(table)
+        w, g, doc = tokens(data, offsets)
+        h, c = _distinct(w, g, learn[doc])
         out = _messages(h, c, table.column("block")[0].as_py(), ranges)
         trim()
         return out
@@ -173,7 +214,7 @@ def _pass_on(sent: pa.Table, got: pa.Table) -> pa.Table:
 
 
 def totals_of(src: DataFrame, blocks: int, ranges: int, most: int = MOST_BLOCKS) -> DataFrame:
-    """REPLY for each block of src (block, learn, text): totals of its n-grams by range, in order of their hashes."""
+    """REPLY for each block of src (PIECE): totals of its n-grams by range, in order of their hashes."""
     if blocks <= most:
         return src.groupBy("block").applyInArrow(_counter(ranges), MESSAGE).groupBy("rng").applyInArrow(_add_up, REPLY)
     # wide ranges are whole numbers of narrow ones
@@ -186,16 +227,12 @@ def totals_of(src: DataFrame, blocks: int, ranges: int, most: int = MOST_BLOCKS)
     return sent.groupBy("team", "rng").cogroup(back.groupBy("team", "wide")).applyInArrow(_pass_on, REPLY)
 
 
-_ZSTD = pa.Codec("zstd", 1)
-
-
 def _squeeze(x: np.ndarray) -> bytes:
-    raw = planes(x)
-    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+    return _small(planes(x))
 
 
 def _unsqueeze(raw: bytes) -> np.ndarray:
-    return unplanes(_ZSTD.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), asbytes=True)).astype(np.int64)
+    return unplanes(_large(raw)).astype(np.int64)
 
 
 EVENTS = "doc_id long, learn boolean, n_tokens long, n_known long, share double, words binary, pairs binary"
@@ -204,10 +241,12 @@ EVENTS = "doc_id long, learn boolean, n_tokens long, n_known long, share double,
 def _look_up(docs: pa.Table, totals: pa.Table) -> pa.Table:
     """For each document the total of every token's word and pair."""
     names = ["doc_id", "learn", "n_tokens", "n_known", "share", "words", "pairs"]
-    n = docs.num_rows
-    if not n:
+    if not docs.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())], names=names)
-    w, g, doc = tokens(docs.column("text"))
+    data, offsets, ids, learn = _opened_texts(docs)
+    n = len(ids)
+    w, g, doc = tokens(data, offsets)
+    del data
     h = _sorted(w, g)
     h = h[_firsts(h)]
     order = np.argsort(totals.column("rng").to_numpy())
@@ -216,13 +255,12 @@ def _look_up(docs: pa.Table, totals: pa.Table) -> pa.Table:
     del sent
     of_word, of_pair = total[np.searchsorted(h, w)], total[np.searchsorted(h, g)]
     del w, g, h, total
-    learn = docs.column("learn").to_numpy(zero_copy_only=False)
     size = np.bincount(doc, minlength=n)
     known = np.bincount(doc, weights=of_word > 0, minlength=n).astype(np.int64)
     share = sum_by(learn[doc] / np.maximum(of_word, 1), doc, n)  # over all training text these add up to the vocabulary
     cut = np.concatenate(([0], np.cumsum(size)))
     pick = lambda x: pa.array([_squeeze(x[cut[i] : cut[i + 1]]) for i in range(n)], pa.binary())
-    out = pa.table([docs.column("doc_id"), docs.column("learn"), pa.array(size), pa.array(known), pa.array(share), pick(of_word), pick(of_pair)], names=names)
+    out = pa.table([ids, pa.array(learn), pa.array(size), pa.array(known), pa.array(share), pick(of_word), pick(of_pair)], names=names)
     trim()
     return out
 
@@ -230,14 +268,15 @@ def _look_up(docs: pa.Table, totals: pa.Table) -> pa.Table:
 def count_events(docs: DataFrame, learn, most: int = MOST_BLOCKS) -> DataFrame:
     """EVENTS of every document, written to the shared folder. learn: which rows the counts come from.
 
-    docs comes from files or a written table, whose rows have their places whenever they are read.
+    docs comes from files or a written table, whose rows come in one order whenever they are read.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(2 * parts, -(-size // BLOCK_TEXT))
+    limit = max(LEAST_TEXT, min(BLOCK_TEXT, size // (2 * parts)))
+    blocks = max(2 * parts, -(-size // limit))  # about
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    src = src.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(11)), F.lit(blocks)))
+    src = src.mapInArrow(_pieces(limit), PIECE)
     totals = totals_of(src, blocks, max(parts, blocks // 2), most)
     events = src.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_look_up, EVENTS)
     return written(events, "events")
