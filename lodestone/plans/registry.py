@@ -462,6 +462,16 @@ def search_e2e(spark: SparkSession, d: str) -> DataFrame:
     return cat.search_end_to_end(spark, d)
 
 
+@query()
+def search_full(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search with candidates by vectors beside the lexical ones; a query has the vector of its number, if there is one."""
+    c, index, q, booster, ridge, spaces = cat.trained(spark, d)
+    v = cat.vectors(spark, d)
+    asked = v.withColumnRenamed("product_uid", "query_id").join(q.select("query_id"), "query_id", "left_semi")
+    known = v.join(c.select("product_uid"), "product_uid", "left_semi")
+    return cat.search(c, index, q, booster, ridge, spaces, 10, 20, (asked, known))
+
+
 # ---------------------------------------------------------------- image state, profile
 
 _STATE_SQL = "st as (select p_partkey as product_uid, p_name as title, p_brand as brand, case p_partkey % 6 when 0 then 'pending' when 1 then 'no_image' when 2 then 'failed' else 'downloaded' end as status, case p_partkey % 6 when 0 then null when 3 then 'x/' || p_partkey || '.jpg' when 4 then null else '' end as local_path from part)"

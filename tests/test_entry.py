@@ -45,6 +45,8 @@ def test_learned_queries_run_whole(spark):
         by.setdefault(r.query_id, []).append((r["rank"], -r.relevance_score, -r.product_uid))
     assert all([x[1:] for x in sorted(v)] == sorted(x[1:] for x in v) for v in by.values())
     assert found == run("search_e2e") or sorted(map(tuple, found)) == sorted(map(tuple, run("search_e2e")))
+    full = run("search_full")
+    assert {r["rank"] for r in full} == set(range(1, 11)) and {r.query_id for r in full} == {r.query_id for r in found}
     for name in ("ridge_rank", "gbt_rank"):
         assert len(run(name)) == len(found)
 
