@@ -70,16 +70,23 @@ def bm25(terms: DataFrame, index: Index, by: tuple[str, ...] = ("query_id", "var
     that a stop word's postings go to SALTS tasks. idf and field sizes are attached to the query
     side first, so nothing is joined per posting. Pairs that are not wanted go before the sums.
     """
-    known = terms.join(index.terms, ["field", "term"]).join(index.fields.select("field", "avgdl"), "field")
+    probe = F.xxhash64(*by)
+    known = terms.join(index.terms, ["field", "term"]).select("field", "term", probe.alias("probe"), (F.col("qf") * F.col("idf")).alias("w"))
+    # what a posting adds is known but for the query's weight: counted once a posting, not once a hit
+    sized = index.postings.join(F.broadcast(index.fields.select("field", "avgdl")), "field")  # one row a field
+    weighed = sized.select("field", "term", "product_uid", term_score(F.col("tf"), F.lit(1.0), F.col("dl"), F.col("avgdl")).alias("x"))
     if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        hits = index.postings.join(F.broadcast(known), ["field", "term"])
+        hits = weighed.join(F.broadcast(known), ["field", "term"])
     else:
         salted = known.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        hits = index.postings.withColumn("salt", F.pmod(F.xxhash64("product_uid"), F.lit(SALTS)).cast("int")).join(salted, ["field", "term", "salt"]).drop("salt")
+        hits = weighed.withColumn("salt", F.pmod(F.xxhash64("product_uid"), F.lit(SALTS)).cast("int")).join(salted, ["field", "term", "salt"]).drop("salt")
+    probes = terms.select(probe.alias("probe"), *by).distinct()
     if only is not None:
-        hits = hits.join(only.select("query_id", "product_uid"), ["query_id", "product_uid"], "left_semi")
-    part = F.col("qf") * term_score(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"))
-    return hits.groupBy(*by, "product_uid").agg(F.sum(part).alias("score"))
+        wanted = only.select("query_id", "product_uid").join(probes, "query_id").select("probe", "product_uid")
+        hits = hits.join(wanted, ["probe", "product_uid"], "left_semi")
+    # keys of plain numbers: the sums of all hits are what retrieval costs
+    summed = hits.groupBy("probe", "product_uid").agg(F.sum(F.col("w") * F.col("x")).alias("score"))
+    return summed.join(probes, "probe").select(*by, "product_uid", "score")
 
 
 def fuse(scores: DataFrame, q: DataFrame) -> DataFrame:
