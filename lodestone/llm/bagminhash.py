@@ -331,8 +331,11 @@ def _to_heads(members: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The members of buckets that hold several classes, written, with `class` and `most`, the bucket's largest class."""
-    classed = written(_classed(members.select("node", "weight", "bucket", "pos"), roots), "classed")
+    """The members of buckets that hold several classes, written, with `class` and `most`, the bucket's largest class.
+
+    A bucket's head has met all others (``_to_heads``), so it is left out, and a bucket of two is done.
+    """
+    classed = written(_classed(members.where("node <> head").select("node", "weight", "bucket", "pos"), roots), "classed")
     sizes = classed.groupBy("bucket", "class").agg(F.count("*").alias("size"))
     several = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("top"), F.count("*").alias("n")).where("n > 1")
     several = written(several.select("bucket", F.col("top.class").alias("most")), "several")

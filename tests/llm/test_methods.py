@@ -281,6 +281,29 @@ def test_near_copies_among_texts_that_share_a_passage(spark, n, n_pairs):
     assert got == {i: i - 10_000 if i >= 10_000 else i for i in texts}
 
 
+def test_pairs_that_have_met_go_no_further(spark, monkeypatch):
+    """Texts that share buckets in twos, at 0.75: each has met the other, so no row goes to open buckets. In threes, links between the other two are found."""
+    own = lambda i, m: [f"w{i}x{j}" for j in range(m)]
+    passage = lambda i: [f"p{i}x{j}" for j in range(110)]
+    twos = {i: passage(i // 2) + own(i, 17) for i in range(120)}
+    threes = {1000 + i: passage(1000 + i // 3) + (own(1000 + i, 17) if i % 3 == 0 else own(3000 + i // 3, 14) + own(5000 + i, 3)) for i in range(90)}
+    kept, real = [], bmh.written
+
+    def written(df, name):
+        out = real(df, name)
+        kept.extend([out.count()] if name == "open" else [])
+        return out
+
+    monkeypatch.setattr(bmh, "written", written)
+    for texts in (twos, twos | threes):
+        kept.clear()
+        rows = [(i, " ".join(x)) for i, x in texts.items()]
+        got = {r.doc_id: r.class_id for r in bmh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute_classes(dict(rows))
+        assert texts is not twos or (kept and not any(kept))
+    assert len(set(got.values())) == 120 + 60
+
+
 def test_classes_of_texts_about_the_threshold(spark):
     """Chains and stragglers at 0.7 to 0.9: every link between classes is found, so classes equal those of all pairs."""
     rng = random.Random(12)
