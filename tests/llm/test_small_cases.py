@@ -166,6 +166,22 @@ def test_packing_stage_of_odd_rows(spark, odd, none, folder):
     assert stages()["packing"](spark, none, folder).count() == 0
 
 
+def test_dedup_stage_is_done_with_pairs_that_have_met(spark, monkeypatch):
+    """pipeline: unlike texts that share buckets in twos all stay, and none goes to open buckets."""
+    texts = [" ".join([f"p{i // 2}x{j}" for j in range(110)] + [f"w{i}x{j}" for j in range(17)]) for i in range(80)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept, real = [], bagminhash.written
+
+    def written(df, name):
+        out = real(df, name)
+        kept.extend([out.count()] if name == "open" else [])
+        return out
+
+    monkeypatch.setattr(bagminhash, "written", written)
+    assert sorted(r.doc_id for r in stages()["near_dedup"](spark, docs, "").collect()) == list(range(80))
+    assert kept and not any(kept)
+
+
 def test_ties(spark):
     """Rows that are equal but for their order get equal results, whatever the order."""
     rows = [(i, "the same words of one text stand here twice and more", "en", "a", 50) for i in range(6)] + [(9, "la la la la", "fr", "a", 11), (8, "da da da da", "de", "a", 11)]
